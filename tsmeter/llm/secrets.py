@@ -39,10 +39,10 @@ SENSITIVE = (
 
 _operator = re.compile(r":=|=>|=(?!=)|:(?!//)")
 _name_before = re.compile(r"([A-Za-z_$][\w$.\-]*)[\"'`\]]*[ \t]*$", re.ASCII)
-_part = re.compile(r"""[ \t]*(?:(?P<prefix>[rbfuRBFU]{0,2})(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<name>[A-Za-z_$][\w$.]*(?![\w/+=\-]))|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""", re.ASCII)
+_part = re.compile(r"""[ \t]*(?:(?P<prefix>[rbfuRBFU]{0,2})(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<name>[A-Za-z_$][\w$.]*(?=[\s;,)\]}+#]|$))|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""", re.ASCII)
 _plus = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"']))")
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_placeholder = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$|change.?me|example|placeholder|your[_\- ]|dummy|sample|todo|redacted|^(?:none|null|true|false|undefined)$", re.IGNORECASE)
+_placeholder = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|\{\{.*\}\}|\[.*\])$|change.?me|example|placeholder|your[_\- ]|dummy|sample|todo|redacted|^(?:none|null|true|false|undefined)$", re.IGNORECASE)
 
 
 def name_score(name: str) -> float:
