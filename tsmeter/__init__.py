@@ -1 +1,3 @@
 """Forecast evaluation and training-data operators as Spark DataFrame programs."""
+
+__version__ = "1.0.0"
