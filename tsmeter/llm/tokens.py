@@ -40,3 +40,7 @@ def byte_bpe(ranks_path: str | None = None):
         return (plain if simple else full).encode_to_numpy(text, disallowed_special=())
 
     return encode
+
+
+def token_bytes(token: int, ranks_path: str | None = None) -> bytes:
+    return _encodings(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))[0].decode_single_token_bytes(token)

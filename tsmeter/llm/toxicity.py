@@ -142,6 +142,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     return w
 
 
+def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[list[str], np.ndarray]:
     """The lexicon and the weights, from rows outside the held-out fold.
 
@@ -196,7 +200,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
         scorer = Scorer(lexicon)
         for batch in batches:
             x = np.array([scorer.features(t) for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, N_FEATURES)
-            score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+            score = probability(x, weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double, predicted int")
