@@ -50,5 +50,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_sentencepiece_sampling, op6_simhash_dedup, op7_packing, op8_training_order, op9_toxicity, op10_lm_scoring)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_sentencepiece_sampling, op6_simhash_dedup, op7_packing, op8_training_order, op9_toxicity, op10_lm_scoring, pipeline)}
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
