@@ -495,12 +495,13 @@ def num_failures(spark, sf_dir):
     return analytics.failures(errors(spark, sf_dir))
 
 
-FILLED = "filled AS (SELECT id, window_idx, model, CASE WHEN err IS NULL THEN 1.0 ELSE least(greatest(err, 0.01), 100) END AS e FROM rel)"
+FILLED = "filled AS (SELECT id, window_idx, model, CASE WHEN err IS NULL THEN 1.0 ELSE round(least(greatest(err, 0.01), 100), 9) END AS e FROM rel)"
 WINS = "SELECT a.model, b.model AS other, avg(CASE WHEN a.e < b.e THEN 1.0 WHEN a.e = b.e THEN 0.5 ELSE 0.0 END) AS w, 1 - exp(avg(ln(a.e / b.e))) AS skill FROM filled a JOIN filled b ON a.id = b.id AND a.window_idx = b.window_idx GROUP BY 1, 2"
 
 
 def filled(spark, sf_dir) -> DataFrame:
-    return analytics.handle_missing(analytics.clip_errors(errors(spark, sf_dir), 0.01, 100.0), "impute", 1.0)
+    out = analytics.handle_missing(analytics.clip_errors(errors(spark, sf_dir), 0.01, 100.0), "impute", 1.0)
+    return out.withColumn("score", F.round("score", 9))  # so that ties do not hang on the order of sums
 
 
 @query(f"{SUMMARIES}, {REL}, {FILLED} SELECT model AS model_name, round(avg(w), 5) AS win_rate FROM ({WINS}) WHERE model <> other GROUP BY 1")
