@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: The bytes that end a word in every operator: space and \\x09-\\x0D.
 SPACES = " \t\n\x0b\x0c\r"
+_own_dirs: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +32,13 @@ def id_fold(mod: int, doc_id: Column | str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, local runs) a temporary folder is
-    made and set for this session.
+    Only where the session names none (tests, local runs) a temporary folder is made,
+    one for each application.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tsmeter-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own_dirs[app] if app in _own_dirs else _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="tsmeter-shared-"))
     return base.rstrip("/")
 
 
@@ -53,12 +54,6 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_shared(spark: SparkSession, path: str) -> None:
-    """Remove a table written by ``shared_table`` through Spark's file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
@@ -82,12 +77,17 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
             out = linked.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b")))
         return out.filter("a <> b").distinct()
 
-    now = shared_table(edges.select("a", "b").filter("a <> b").distinct(), label)
-    before = None
+    def unsettled(e: DataFrame) -> bool:
+        """Whether a node still has two links, or is a root and a child."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(e.select("b", F.lit(0), F.lit(1)))
+        found = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+        return bool(found.filter((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("root") > 0))).limit(1).count())
+
+    now = shared_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
     for _ in range(max_rounds):
-        now = shared_table(star(star(now, True), False), label)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(mark) == before:
+        if not unsettled(now):
             break
-        before = tuple(mark)
+        now = shared_table(star(star(now, True), False), label)
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
