@@ -27,7 +27,9 @@ BLOCK = 1 << 15  # shingles whose bits are counted at once
 #: The trie is cut into about this many leaves, of LEAF[0] to LEAF[1] fingerprints.
 LEAVES, LEAF = 64, (512, 1_000_000)
 #: Two ranges with at most so many pairs are compared pair by pair.
-DIRECT = 256
+DIRECT = 64
+#: So many pairs of nodes are walked at once.
+FRONT = 1 << 13
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -73,9 +75,13 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, depth: int = 0)
     used = int(np.bitwise_count((a[0] ^ b[0]) >> np.uint64(64 - depth))) if depth else 0
     if used > budget:
         return none, none
-    front = np.array([[0, len(a), 0, len(b), budget - used]], np.int64).T
     out_a, out_b = [], []
-    for level in range(depth, 65):
+    todo = [(depth, np.array([[0, len(a), 0, len(b), budget - used]], np.int64).T)]
+    while todo:  # depth first, so that few node pairs wait however many there are
+        level, front = todo.pop()
+        if front.shape[1] > FRONT:
+            todo += [(level, front[:, at : at + FRONT]) for at in range(0, front.shape[1], FRONT)]
+            continue
         alo, ahi, blo, bhi, left = front
         direct = ((ahi - alo) * (bhi - blo) <= DIRECT) | (level == 64)
         if direct.any():
@@ -86,11 +92,11 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, depth: int = 0)
             out_a.append(x[close])
             out_b.append(y[close])
             front = front[:, ~direct]
-        if not front.shape[1] or level == 64:
-            break
+        if not front.shape[1]:
+            continue
         alo, ahi, blo, bhi, left = front
         bit = np.uint64(1 << (63 - level))
-        middle = lambda v, lo: np.searchsorted(v, ((v[lo] >> np.uint64(63 - level)) << np.uint64(63 - level)) | bit)
+        middle = lambda v, lo: np.searchsorted(v, ((v[lo] >> np.uint64(63 - level)) << np.uint64(63 - level)) | bit)  # noqa: B023, E731
         am, bm = middle(a, alo), middle(b, blo)
         same = (alo == blo) & (ahi == bhi) if own else np.zeros(len(alo), bool)
         front = np.hstack([
@@ -100,6 +106,8 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, budget: int, depth: int = 0)
             np.stack([am, ahi, blo, bm, left - 1])[:, ~same],
         ])
         front = front[:, (front[1] > front[0]) & (front[3] > front[2]) & (front[4] >= 0)]
+        if front.shape[1]:
+            todo.append((level + 1, front))
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
