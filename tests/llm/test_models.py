@@ -29,19 +29,18 @@ def pieces():
 def all_segmentations(word, pieces):
     """ids of a segmentation: log-probability."""
     out = {}
+    vocabulary = {pieces.bytes[i].decode().replace(" ", "▁"): (i, w) for i, w in zip(pieces.piece.tolist(), pieces.weight.tolist()) if i >= 0}
 
     def go(at, ids, weight):
         if at == len(word):
             out[tuple(ids)] = weight
             return
-        node, to, single = pieces.trie.get(word[at]), at + 1, False
-        while node is not None:
-            if "" in node:
+        single = False
+        for to in range(at + 1, len(word) + 1):
+            if word[at:to] in vocabulary:
                 single |= to == at + 1
-                go(to, [*ids, node[""][0]], weight + node[""][1])
-            if to == len(word):
-                break
-            node, to = node.get(word[to]), to + 1
+                i, w = vocabulary[word[at:to]]
+                go(to, [*ids, i], weight + w)
         if not single:
             own = [pieces.byte_ids[b] for b in word[at].encode()]
             go(at + 1, ids + own, weight + pieces.byte_weight * len(own))
@@ -56,7 +55,7 @@ def test_samples_without_replacement(pieces, text):
     exact = all_segmentations("▁" + text.replace(" ", "▁"), pieces)
     n, k = 3000, 3
     seeds = sp_sampling.row_seeds(list(range(n)), 5)
-    got = sp_sampling.sample_batch([text] * n, seeds, k, pieces, {})
+    got = sp_sampling.sample_batch([text] * n, seeds, k, pieces)
     first, second = Counter(), Counter()
     for found, left in got:
         ids = [tuple(x[0].tolist()) for x in found]

@@ -13,8 +13,7 @@ word lattices; equal words share one.  All words of a batch are walked in lockst
 Randomness depends on the seed, the row's key, the sample, the word and the step, not
 on batches or partitions.
 
-Scale: one narrow pass over whole texts; what a task holds is a batch and a bounded
-cache of word lattices.
+Scale: one narrow pass over whole texts; what a task holds is a batch.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -37,8 +35,11 @@ from .common import id_and_text
 
 SAMPLES, SEED = 3, 11
 SPACE = "▁"
-CACHE = 200_000  # word lattices that a task remembers, at most
-BATCH_CHARS = 1_000_000  # characters of the texts that are walked together, about
+BATCH_CHARS = 200_000  # characters of the texts that are walked together, about
+
+#: -ln of a uniform number lies between exp(-REACH) and REACH, so that a region's value
+#: lies between mu - ln(exp(mu - top) + REACH) and mu + REACH.
+REACH = 37.5
 
 _units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _u = np.uint64
@@ -52,7 +53,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def uniforms(seed: np.ndarray, counter: np.ndarray, stream: int) -> np.ndarray:
     """Numbers in (0, 1), the same for the same seed, counter and stream."""
-    x = _mix(seed.astype(np.uint64) + _mix(counter.astype(np.uint64) * _u(0x9E3779B97F4A7C15) + _u(stream * 0x632BE59BD9B4E019 % 2**64)))
+    x = _mix(seed.astype(np.uint64) + counter.astype(np.uint64) * _u(0x9E3779B97F4A7C15) + _u(stream * 0x632BE59BD9B4E019 % 2**64))
     return ((x >> _u(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
@@ -61,7 +62,6 @@ class Pieces:
 
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.trie: dict = {}
         self.bytes: list[bytes] = [b""] * sp.get_piece_size()
         self.byte_ids = [0] * 256
         normal = []
@@ -74,52 +74,21 @@ class Pieces:
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
                 normal.append((i, piece))
         total = math.log(sum(1 / (rank + 10) for rank in range(len(normal))))
-        for rank, (i, piece) in enumerate(normal):  # the rank's share under Zipf's law
-            node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = (i, -math.log(rank + 10) - total)
         self.byte_weight = -math.log(len(normal) + 10) - total
-
-    def lattice(self, word: str) -> tuple[list[int], list[int], list[float], list[float], list[int], list[int]]:
-        """For each position its number of edges; for each edge its target position,
-        log-probability, cumulated probability and number of ids; all ids."""
-        edges: list[list[tuple[int, float, list[int]]]] = []
-        for at, c in enumerate(word):
-            node, here, to = self.trie.get(c), [], at + 1
-            single = False
-            while node is not None:
-                if "" in node:
-                    piece, weight = node[""]
-                    here.append((to, weight, [piece]))
-                    single |= to == at + 1
-                if to == len(word):
-                    break
-                node = node.get(word[to])
-                to += 1
-            if not single:
-                own = [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-                here.append((at + 1, self.byte_weight * len(own), own))
-            edges.append(here)
-        behind = [0.0] * (len(word) + 1)
-        count, target, logp, cum, n_ids, ids = [], [], [], [], [], []
-        for at in range(len(word) - 1, -1, -1):
-            values = [w + behind[to] for to, w, _ in edges[at]]
-            top = max(values)
-            behind[at] = top + math.log(sum(math.exp(v - top) for v in values))
-        for at, here in enumerate(edges):
-            count.append(len(here))
-            so_far = 0.0
-            for to, w, own in here:
-                p = w + behind[to] - behind[at]
-                so_far += math.exp(p)
-                target.append(to)
-                logp.append(min(p, 0.0))
-                cum.append(so_far)
-                n_ids.append(len(own))
-                ids += own
-            cum[-1] = 1.0
-        return count, target, logp, cum, n_ids, ids
+        nodes: dict[str, int] = {"": 0}
+        for _, piece in normal:
+            for n in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:n], len(nodes))
+        #: The trie: node << 21 | character of each step, in order, and the node it leads to.
+        steps = sorted(((nodes[x[:-1]] << 21) | ord(x[-1]), nodes[x]) for x in nodes if x)
+        self.step, self.child = (np.array(c, np.int64) for c in zip(*steps))
+        self.piece, self.weight = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes))
+        for rank, (i, piece) in enumerate(normal):  # a piece weighs its rank's share under Zipf's law
+            self.piece[nodes[piece]], self.weight[nodes[piece]] = i, -math.log(rank + 10) - total
+        self.known, self.from_root = np.zeros(0x110000, bool), np.full(0x110000, -1, np.int32)  # by character
+        for x, node in nodes.items():
+            if len(x) == 1:
+                self.from_root[ord(x)], self.known[ord(x)] = node, self.piece[node] >= 0
 
     def decode(self, ids) -> str:
         """The text of ids; its first space is the one that encoding put there."""
@@ -132,33 +101,71 @@ def pieces_of(path: str | None) -> Pieces:
 
 
 class Walk:
-    """The word lattices of a batch, as arrays over states (word, position) and edges."""
-
-    def __init__(self, words: list[str], pieces: Pieces, cache: dict):
-        lattices = []
-        for w in words:
-            got = cache.get(w)
-            if got is None:
-                got = pieces.lattice(w)
-                if len(cache) < CACHE:
-                    cache[w] = got
-            lattices.append(got)
-        whole = lambda i, kind: np.fromiter(chain.from_iterable(x[i] for x in lattices), kind)
+    """The word lattices of a batch, as arrays over states (word, position) and edges.
+
+    Edges are found by running all positions of all words along the trie together; then
+    the weight behind each position is summed from the words' ends, all words together.
+    """
+
+    def __init__(self, words: list[str], pieces: Pieces):
         lengths = np.array([len(w) for w in words], np.int64)
         self.first = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]  # state of a word's start
-        degree = np.zeros(int((lengths + 1).sum()), np.int64)
-        inner = np.ones(len(degree), bool)
+        n_states = int((lengths + 1).sum())
+        char = np.zeros(n_states, np.int64)  # the character after each state; 0 at ends
+        inner = np.ones(n_states, bool)
         inner[self.first + lengths] = False
-        degree[inner] = whole(0, np.int64)
-        self.degree, self.edge = degree, np.cumsum(degree) - degree
-        self.source = of_edge = np.repeat(np.arange(len(degree)), degree)
-        word_of_state = np.repeat(np.arange(len(words)), lengths + 1)
-        self.target = whole(1, np.int64) + self.first[word_of_state[of_edge]]
-        self.logp = whole(2, np.float64)
-        self.key = whole(3, np.float64) + of_edge  # sorted: states ascend, and so do sums in a state
-        self.n_ids = whole(4, np.int64)
-        self.ids = whole(5, np.int32)
+        char[inner] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = np.flatnonzero(inner)
+        at, node, origin = start.copy(), np.zeros(len(start), np.int64), start
+        source, target, weight, piece = [], [], [], []
+        while len(at):
+            if not source:
+                node = pieces.from_root[char[at]].astype(np.int64)
+            else:
+                key = (node << 21) | char[at]
+                k = np.minimum(np.searchsorted(pieces.step, key), len(pieces.step) - 1)
+                node = np.where((pieces.step[k] == key) & inner[at], pieces.child[k], -1)
+            going = node >= 0
+            at, node, origin = at[going] + 1, node[going], origin[going]
+            ends = pieces.piece[node] >= 0
+            source.append(origin[ends])
+            target.append(at[ends])
+            weight.append(pieces.weight[node[ends]])
+            piece.append(pieces.piece[node[ends]])
+        lone = start[~pieces.known[char[start]]]  # characters that become bytes
+        source, target, piece = (np.concatenate([*x, y]) for x, y in ((source, lone), (target, lone + 1), (piece, -1 - lone)))
+        raw = [chr(c).encode("utf-8", "surrogatepass") for c in char[lone].tolist()]
+        weight = np.concatenate([*weight, [pieces.byte_weight * len(b) for b in raw]])
+        order = np.argsort(source, kind="stable")
+        self.source, self.target, weight, piece = source[order], target[order], weight[order], piece[order]
+        self.degree = np.bincount(self.source, minlength=n_states)
+        self.edge = np.cumsum(self.degree) - self.degree
+        behind = np.zeros(n_states)
+        left = np.repeat(lengths, lengths + 1) - (np.arange(n_states) - np.repeat(self.first, lengths + 1))  # to the word's end
+        most = int(lengths.max(initial=0))
+        of_edge = left[self.source].astype(np.uint16 if most < 1 << 16 else np.int64)
+        by_left = np.argsort(of_edge, kind="stable")
+        bounds = np.searchsorted(of_edge[by_left], np.arange(1, most + 2))
+        for lo, hi in zip(bounds, bounds[1:]):
+            own = by_left[lo:hi]
+            if len(own):
+                heads = np.flatnonzero(np.diff(self.source[own], prepend=-1))
+                behind[self.source[own[heads]]] = np.logaddexp.reduceat(weight[own] + behind[self.target[own]], heads)
+        self.logp = np.minimum(weight + behind[self.target] - behind[self.source], 0.0)
+        total = np.cumsum(np.exp(self.logp))
+        base = np.concatenate(([0.0], total))[self.edge[self.source]]
+        self.key = self.source + np.clip(total - base, 1e-12, 1.0)  # sorted: states ascend, and so do sums in a state
+        last = self.edge[inner] + self.degree[inner] - 1
+        self.key[last] = self.source[last] + 1.0
+        many = dict(zip((-1 - lone).tolist(), raw))
+        self.n_ids = np.ones(len(piece), np.int64)
+        unknown = np.flatnonzero(piece < 0)
+        self.n_ids[unknown] = [len(many[x]) for x in piece[unknown].tolist()]
         self.id_at = np.cumsum(self.n_ids) - self.n_ids
+        self.ids = np.zeros(int(self.n_ids.sum()), np.int32)
+        self.ids[self.id_at[piece >= 0]] = piece[piece >= 0]
+        for e in unknown.tolist():
+            self.ids[self.id_at[e] : self.id_at[e] + self.n_ids[e]] = [pieces.byte_ids[b] for b in many[int(piece[e])]]
 
     def pick(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         edge = np.searchsorted(self.key, state + u)
@@ -213,13 +220,13 @@ class Path:
         self.taken: dict[int, list[int]] = {}  # at a step: the edges that paths took besides this one's
 
 
-def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces, cache: dict) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
+def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """For each text: up to k (ids, log-probability, perturbed value), best first, and
     the best perturbed value that was left."""
     units = [_units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     index: dict[str, int] = {}
     occurrence = np.fromiter((index.setdefault(w, len(index)) for u in units for w in u), np.int64)
-    walk = Walk(list(index), pieces, cache)
+    walk = Walk(list(index), pieces)
     sizes = np.array([len(u) for u in units], np.int64)
     begin = np.cumsum(sizes) - sizes
     start = walk.first[occurrence] if len(occurrence) else occurrence
@@ -245,7 +252,9 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces, ca
         seed = _mix(seeds[docs] + _u(number)) if len(docs) else seeds[:0]
         at, edges = walk.run(states, seed, (words + 1) << 24)
         of_doc, of_word = docs[at], words[at]
-        per = np.bincount(np.searchsorted(which, of_doc), minlength=len(which))
+        place = np.zeros(len(texts), np.int64)
+        place[which] = np.arange(len(which))
+        per = np.bincount(place[of_doc], minlength=len(which))
         ends = np.cumsum(per)
         for i, (d, head, top) in enumerate(zip(which, heads, tops)):
             own = slice(ends[i] - per[i], ends[i])
@@ -254,13 +263,20 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces, ca
                 path, step, edge = head
                 e = np.concatenate((path.edges[:step], [edge], e))
                 w = np.concatenate((path.words[: step + 1], w))
-            logs = walk.logp[e]
-            before = np.cumsum(logs) - logs
-            mu = before + _rest(logs)
-            mu[walk.degree[walk.source[e]] == 1] = -np.inf
-            region = truncated(mu, top, uniforms(np.full(len(e), seeds[d]), np.arange(len(e)), 16 + number))
-            if head is not None:
-                region[: step + 1] = -np.inf  # these are regions of the path it left
+            taken = 0 if head is None else head[1] + 1  # regions of the steps before belong to the path it left
+            n = taken + 128
+            while True:  # regions beyond n can't be among the best: see REACH
+                logs = walk.logp[e[:n]]
+                before = np.cumsum(logs) - logs
+                mu = before + _rest(logs)
+                mu[walk.degree[walk.source[e[:n]]] == 1] = -np.inf
+                mu[:taken] = -np.inf
+                with np.errstate(over="ignore"):
+                    sure = np.sort(mu - np.log(np.exp(np.minimum(mu - top, 700.0)) + REACH))
+                if n >= len(e) or (len(sure) > k and before[-1] + REACH < sure[-1 - k]):
+                    break
+                n *= 4
+            region = truncated(mu, top, uniforms(np.full(len(mu), seeds[d]), np.arange(len(mu)), 16 + number))
             paths[d].append(Path(e, w, before, region, float(top)))
 
     extend(list(range(len(texts))), [None] * len(texts), root, 0)
@@ -314,16 +330,16 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: s
     fields = [("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("round_trip", pa.bool_())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
 
-    def work(ids: list, texts: list[str], pieces: Pieces, cache: dict) -> pa.RecordBatch:
+    def work(ids: list, texts: list[str], pieces: Pieces) -> pa.RecordBatch:
         out = []
-        for doc_id, text, (found, left) in zip(ids, texts, sample_batch(texts, row_seeds(ids, seed), k, pieces, cache)):
+        for doc_id, text, (found, left) in zip(ids, texts, sample_batch(texts, row_seeds(ids, seed), k, pieces)):
             for number, (got, logp, value) in enumerate(found, 1):
                 inclusion = 0.0 if left == -np.inf else logp - left if logp - left < -30 else math.log(-math.expm1(-math.exp(min(logp - left, 700.0))))
                 out.append((doc_id, number, len(got), zlib.crc32(got.astype("<i4").tobytes()), logp, value, inclusion, pieces.decode(got.tolist()) == text, got)[: len(schema)])
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = pieces_of(model), {}
+        pieces = pieces_of(model)
         ids, texts, held = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
@@ -331,12 +347,10 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: s
                 texts.append(text.as_py())
                 held += len(texts[-1])
                 if held >= BATCH_CHARS or len(ids) >= 2000:
-                    yield work(ids, texts, pieces, cache)
+                    yield work(ids, texts, pieces)
                     ids, texts, held = [], [], 0
-                    if len(cache) >= CACHE:
-                        cache.clear()
         if ids:
-            yield work(ids, texts, pieces, cache)
+            yield work(ids, texts, pieces)
 
     ddl = "doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, round_trip boolean" + ", ids array<int>" * with_ids
     return id_and_text(docs).mapInArrow(run, ddl)
