@@ -232,3 +232,13 @@ def test_pipeline(spark, small, odd, labels, documents):
     empty = docs.limit(0)
     assert all(f(spark, empty, small).count() == 0 for _, f in corpus_pipeline.STAGES)
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_near_dedup_keeps_rows_with_null_or_repeated_ids(spark, small):
+    from tsmeter.llm import stages
+
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, 300))
+    made = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (2, text(6)), (7, text(6).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.text for r in stages.drop_near_copies(spark, docs, small).collect())
+    assert got == sorted(t for _, t in made[:-1])
