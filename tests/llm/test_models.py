@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tsmeter.llm import lm_score, order, packing, secrets, simhash, sp_sampling, toxicity
+from tsmeter.llm import lm_score, order, packing, secrets, similar, simhash, sp_sampling, toxicity
 from tsmeter.llm.common import shared_path
 
 
@@ -242,3 +242,28 @@ def test_near_dedup_keeps_rows_with_null_or_repeated_ids(spark, small):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(r.text for r in stages.drop_near_copies(spark, docs, small).collect())
     assert got == sorted(t for _, t in made[:-1])
+
+
+def test_near_dedup_finds_what_brute_force_finds(spark, small, monkeypatch):
+    from tsmeter.llm import stages
+
+    monkeypatch.setattr(similar, "MORE", 2)  # several rounds
+    rng = np.random.default_rng(3)
+    made = []
+    for _ in range(12):  # chains of copies near 0.8, and one large group
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        for _ in range(25 if not made else 5):
+            made.append(" ".join(words))
+            for at in rng.integers(0, 200, rng.integers(3, 6)):
+                words[at] = f"w{rng.integers(0, 3000)}"
+    sets = [similar.shingles(t) for t in made]
+    component = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and component[i] != component[j]:
+                low, high = sorted((component[i], component[j]))
+                component = [low if c == high else c for c in component]
+    want = sorted(made[c] for c in set(component))
+    assert 12 < len(want) < len(made)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in stages.drop_near_copies(spark, docs, small).collect()) == want
