@@ -267,3 +267,13 @@ def test_near_dedup_finds_what_brute_force_finds(spark, small, monkeypatch):
     assert 12 < len(want) < len(made)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.text for r in stages.drop_near_copies(spark, docs, small).collect()) == want
+
+
+def test_lexicon_has_the_terms_of_a_small_language(spark):
+    made = [f"you are a gravelhead number {i}" for i in range(400)] + [f"eres un piedrolo numero {i}" for i in range(8)] + [f"a calm day at place {i}" for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 408)) for i in range(len(made))], "doc_id long, toxic int")
+    lexicon, _ = toxicity.train(docs, marks)
+    assert {"gravelhead", "piedrolo"} <= set(lexicon)
+    out = {r["doc_id"]: r["predicted"] for r in rows(toxicity.toxicity(docs, marks))}
+    assert all(out[i] == 1 for i in range(400, 408)) and not any(out[i] for i in range(408, len(made)))

@@ -7,8 +7,8 @@ weighed by its context window: quotation marks and reporting words speak for
 quotation, second-person words for abuse.  A logistic model over these sums scores.
 
 Scale: the fit uses at most ``sample`` labelled rows (a parameter); scoring is one
-narrow pass.  What is broadcast is the lexicon (at most ``terms`` words) and the
-weights.
+narrow pass.  What is broadcast is the lexicon (all words that the sampled rows prove)
+and the weights.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import id_and_text, id_fold, shared_table
 
 SAMPLE = 20_000  # labelled rows for the fit, at most
-TERMS = 256  # words in the lexicon, at most
+FLOOR, LEVEL = 4, 1e-3  # a term's least toxic documents; the chance of its counts under the base rate
 WINDOW = 8  # words on each side that make a hit's context
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—"
 QUOTES = re.compile("[\"“”„«»]")
@@ -84,12 +84,13 @@ class Lexicon:
         return best and (best[1], best[0])
 
 
-N_FEATURES = 7
+N_FEATURES = 8
 
 
 class Scorer:
-    def __init__(self, terms: list[str]):
-        self.lexicon, self.clean, self.hits = Lexicon(terms), set(), {}
+    def __init__(self, terms: dict[str, float]):
+        """terms: each with its weight, the log odds of its labelled documents."""
+        self.terms, self.lexicon, self.clean, self.hits = terms, Lexicon(list(terms)), set(), {}
 
     def features(self, text: str) -> list[float]:
         words = text.split()
@@ -127,7 +128,7 @@ class Scorer:
             directed += aimed and not cited
         n = len(at)
         plain = n - quoted
-        return [1.0 if exact else 0.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(len(kinds)), math.log1p(plain + directed), math.log1p(quoted), 100.0 * min(n / len(words), 0.1)]
+        return [1.0 if exact else 0.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(len(kinds)), math.log1p(plain + directed), math.log1p(quoted), 100.0 * min(n / len(words), 0.1), max(self.terms[t] for t in kinds)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -146,11 +147,12 @@ def probability(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """The lexicon and the weights, from rows outside the held-out fold.
 
     Labelled rows beyond ``sample`` are left out by the order of a hash of their id.
-    Of contradicting labels the worse counts.
+    Of contradicting labels the worse counts.  A term is known by its own documents, so
+    the share of the corpus that its language has does not matter.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.filter((id_fold(5) != 0) & F.col("toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -169,12 +171,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     n = {bool(r["toxic"]): r["n"] for r in rows.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = n.get(True, 0), n.get(False, 0)
     if not pos:
-        return [], np.append(np.zeros(N_FEATURES), -5.0)
+        return {}, np.append(np.zeros(N_FEATURES), -5.0)
     table = rows.select("text", "toxic").mapInArrow(count, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (pos + 1.0)) - F.log((F.col("other") + 0.5) / (neg + 1.0))
-    # a term: three letters, four toxic documents, two per cent of them, twenty times likelier there
-    picked = table.filter((F.length("word") >= 3) & (F.col("toxic") >= max(4, 0.02 * pos)) & (odds > math.log(20.0))).orderBy(F.desc(odds), "word").limit(terms)
-    lexicon = sorted(r["word"] for r in picked.select("word").collect())
+    n_in, rate = F.col("toxic") + F.col("other"), pos / max(pos + neg, 1)
+    # how unlikely so many toxic ones of a term's documents are at the base rate (Chernoff)
+    chance = -F.col("toxic") * F.log(F.col("toxic") / n_in / rate) - F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / n_in / max(1 - rate, 1e-9))).otherwise(0.0)
+    picked = table.filter((F.length("word") >= 3) & (F.col("toxic") >= FLOOR) & (odds > math.log(20.0)) & (chance < math.log(LEVEL)))
+    lexicon = {r["word"]: r["odds"] for r in picked.select("word", odds.alias("odds")).orderBy("word").collect()}  # words of FLOOR of the sampled rows, at least
     width = N_FEATURES
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     return lexicon, fit(np.array(got["x"].tolist(), dtype=float).reshape(-1, width), (got["toxic"] == 1).to_numpy(float))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``.
 
     Null and empty texts have no hits and get the score of a text without hits.  With
@@ -194,7 +198,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: in
     rows are scored each; an empty table gives an empty result; other columns are
     ignored.
     """
-    lexicon, weights = train(docs, labels, sample, terms)
+    lexicon, weights = train(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
