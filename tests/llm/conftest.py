@@ -2,7 +2,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns of documents and some whose names the operators use themselves.
-CLASHING = ["hash", "id", "kept", "fp", "words", "score", "slot", "bucket", "component", "stratum", "n"]
+CLASHING = ["hash", "id", "kept", "fp", "words", "score", "slot", "bucket", "component", "stratum", "n", "row", "_row", "_id", "_sha", "_s", "_i", "doc", "first", "rank", "node", "train", "toxic"]
 
 
 @pytest.fixture(scope="session")

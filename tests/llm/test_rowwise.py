@@ -238,11 +238,28 @@ def test_exact_dedup(odd):
         assert r["text_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
-def test_directory_splits_full_buckets(spark, odd):
-    cells = exact_dedup.cells(exact_dedup.id_and_text(odd)).cache()
-    slots = exact_dedup.directory(cells, 8).toPandas()
-    held = cells.withColumn("slot", exact_dedup.slot_of("hash")).toPandas().merge(slots, on="slot")
-    assert held.groupby("bucket").size().max() <= 8 and slots["depth"].nunique() > 1
+def test_directory_splits_full_buckets(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    crowded = (np.int64(5) << np.int64(40)) + rng.permutation(1 << 12)[:300]  # one long common prefix
+    hashes = np.unique(np.concatenate((rng.integers(-(2**63), 2**63, 500), crowded)))
+    df = spark.createDataFrame([(int(h),) for h in hashes], "hash long")
+    some = exact_dedup.build_directory(df.filter("hash not between 5497558138880 and 5497558142976"), 20)
+    got = df.select("hash", some.bucket(F.col("hash")).alias("bucket")).toPandas()
+    u, bucket = got["hash"].to_numpy().view(np.uint64), got["bucket"].to_numpy().view(np.uint64)
+    for h, b in zip(u.tolist(), bucket.tolist()):
+        depth = some.depths[h >> (64 - some.bits)]
+        assert b == (h >> (64 - depth)) << (64 - depth) if depth else b == 0
+    spread = got[~got["hash"].isin(crowded)].groupby("bucket").size()
+    assert spread.max() <= 20 and len(spread) > 25 and len(set(some.depths)) > 1
+
+
+def test_hash_collisions_form_chains(spark):
+    """Texts under one hash are told by their bytes."""
+    rows = spark.createDataFrame([(i, t, 7, 0) for i, t in enumerate(["a", "b", "a", "c", "b", "a"])], "doc_id long, text string, hash long, bucket long")
+    got = {(r.text_sha256[:2], r.keep_id, r.group_size) for r in exact_dedup.build_index(rows, exact_dedup.Directory(0, b"\0")).collect()}
+    assert got == {(hashlib.sha256(t.encode()).hexdigest()[:2], k, n) for t, k, n in (("a", 5, 3), ("b", 4, 2), ("c", 3, 1))}
 
 
 def brute_fingerprint(text, k):

@@ -1,74 +1,102 @@
 """Exact deduplication through an extendible-hash index on shared files.
 
-DataFrame functions only.  Every text has a 64-bit hash; the directory maps the
-hash's top bits to a bucket.  The directory doubles (one more bit) wherever a
-bucket holds more cells than its capacity, so bucket widths follow the data.  Owner
-tasks take ranges of bucket and hash, and each cell chain under one hash compares
-the bytes of the texts, so that a hash collision never merges two texts.
-
-Scale: texts are combined before the shuffle (one row for each task and distinct
-text leaves a map task, however many copies there are) and move once; everything
-after that moves rows of about 60 bytes.  The join that hands the cell back to the
-rows is split by adaptive execution where one text owns many rows.
+DataFrame functions only.  Every text has a 64-bit hash.  The directory maps the
+hash's leading bits to a bucket; it doubles (one bit more) wherever a bucket holds more
+hashes than its capacity, until none does.  Rows find their bucket in the directory;
+within a bucket, texts are told by their bytes, texts that share a hash form a chain,
+and each chain link knows its group.  Owner tasks hold ranges of (bucket, hash) and
+write them sorted to shared files, which the rows are then looked up in.
+
+Scale: the directory is one byte a slot.  Texts are combined before the shuffle (one
+row for each task and distinct text leaves a map task, however many copies there are)
+and move once; all else moves rows of about 70 bytes.  The look-up join is split by
+adaptive execution where one text owns many rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, shared_table
 
-#: The directory never has more than 2**MAX_DEPTH slots, which bounds what is broadcast.
-MAX_DEPTH = 16
-
-
-def cells(docs: DataFrame) -> DataFrame:
-    """One row for each distinct text: ``hash``, ``text_sha256``, ``keep_id``,
-    ``group_size``.  Grouping by hash and text compares bytes along a chain."""
-    return (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-        .groupBy("hash", "text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("hash", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-
+BUCKET_CELLS = 1 << 14  # hashes that a bucket holds, at most
+SPARE = 3  # bits of the first count of hashes beyond those that even buckets need
 
-def directory(cell_rows: DataFrame, bucket_cells: int) -> DataFrame:
-    """``slot`` (top MAX_DEPTH bits), ``depth``, ``bucket`` (first slot of its range).
 
-    A slot's bucket has the smallest depth at which it holds at most
-    ``bucket_cells`` cells: what repeated doubling arrives at.
-    """
-    slots = cell_rows.groupBy(slot_of("hash").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(MAX_DEPTH))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(slot, {MAX_DEPTH} - depth)"))
-    full = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    return (
-        levels.join(full, ["depth", "prefix"])
-        .groupBy("slot")
-        .agg(F.coalesce(F.min(F.when(F.col("held") <= bucket_cells, F.col("depth"))), F.lit(MAX_DEPTH)).alias("depth"))
-        .withColumn("bucket", F.expr(f"shiftleft(shiftright(slot, {MAX_DEPTH} - depth), {MAX_DEPTH} - depth)"))
-    )
+class Directory:
+    """``depths[slot]`` is the depth of the bucket that holds the hashes of a slot."""
 
+    def __init__(self, bits: int, depths: bytes):
+        self.bits, self.depths = bits, depths
 
-def slot_of(column: str):
-    return F.shiftrightunsigned(column, 64 - MAX_DEPTH).cast("int")
+    def bucket(self, hash_column: Column) -> Column:
+        """The bucket's name: its first hash (as a signed number)."""
+        slot = F.shiftrightunsigned(hash_column, 64 - self.bits) if self.bits else F.lit(0).cast("long")
+        depth = F.conv(F.hex(F.substring(F.lit(bytearray(self.depths)), slot.cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftrightunsigned", hash_column, 64 - depth), 64 - depth))
 
 
-def build_index(docs: DataFrame, bucket_cells: int = 1 << 20) -> DataFrame:
-    """The index as files in the shared folder: bucket, hash, chain position, cell.
+def build_directory(hashes: DataFrame, bucket_cells: int) -> Directory:
+    """Doubles the directory until no bucket holds more than ``bucket_cells`` hashes.
 
-    ``docs`` has doc_id and text.  Owner tasks receive ranges of (bucket, hash) and
-    write them sorted, so that a later reader prunes by the files' key ranges.
+    ``hashes`` has a row for each different ``hash``.  Only counts by slot reach the
+    driver, about ``2**SPARE`` for each bucket.
     """
-    found = shared_table(cells(docs), "dedup-cells")
-    slots = directory(found, bucket_cells)
-    placed = found.withColumn("slot", slot_of("hash")).join(F.broadcast(slots.select("slot", "bucket")), "slot").drop("slot")  # at most 2**MAX_DEPTH rows
-    owned = placed.repartitionByRange("bucket", "hash", "text_sha256").sortWithinPartitions("bucket", "hash", "text_sha256")
-    return shared_table(owned, "dedup-index")
-
-
-def exact_dedup(docs: DataFrame, bucket_cells: int = 1 << 20) -> DataFrame:
+    total = hashes.count()
+    bits = 0 if total <= bucket_cells else min(63, math.ceil(math.log2(total / bucket_cells)) + SPARE)
+    while True:  # more leading bits are counted as long as a single slot is overfull
+        slots = hashes.groupBy((F.shiftrightunsigned("hash", 64 - bits) if bits else F.lit(0)).cast("long").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["slot"]: r["n"] for r in slots.collect()}
+        if bits == 63 or max(counts.values(), default=0) <= bucket_cells:
+            break
+        bits = min(63, bits + SPARE)
+    held = [counts]  # hashes under each prefix: of all bits, of one bit less, ...
+    for _ in range(bits):
+        up: dict[int, int] = {}
+        for prefix, n in held[-1].items():
+            up[prefix >> 1] = up.get(prefix >> 1, 0) + n
+        held.append(up)
+    depths, todo = bytearray(1 << bits), [(0, 0)]
+    while todo:
+        depth, prefix = todo.pop()
+        if depth < bits and held[bits - depth].get(prefix, 0) > bucket_cells:  # split
+            todo += [(depth + 1, 2 * prefix), (depth + 1, 2 * prefix + 1)]
+        else:
+            width = 1 << (bits - depth)
+            depths[prefix * width : (prefix + 1) * width] = bytes([depth]) * width
+    return Directory(bits, bytes(depths))
+
+
+def build_index(rows: DataFrame, directory: Directory) -> DataFrame:
+    """The index as files in the shared folder: bucket, hash, chain, text_sha256, keep_id,
+    group_size.
+
+    ``rows`` has bucket, hash, text and doc_id.  A chain's links are the different texts
+    under one hash; they are told by their bytes.
+    """
+    links = rows.groupBy("bucket", "hash", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    links = links.select("bucket", "hash", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    owned = links.repartitionByRange("bucket", "hash")
+    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("text_sha256")))
+    return shared_table(chained.sortWithinPartitions("bucket", "hash", "chain"), "dedup-index")
+
+
+def decide(rows: DataFrame, bucket_cells: int = BUCKET_CELLS) -> DataFrame:
+    """``rows`` (doc_id, text and others) without text, with keep_id, group_size, kept,
+    text_sha256."""
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    directory = build_directory(shared_table(hashed.select("hash").distinct(), "dedup-hashes"), bucket_cells)
+    placed = hashed.withColumn("bucket", directory.bucket(F.col("hash")))
+    index = build_index(placed, directory)
+    keyed = placed.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+    found = keyed.join(index.drop("chain"), ["bucket", "hash", "text_sha256"])
+    return found.drop("bucket", "hash").withColumn("kept", F.expr("doc_id <=> keep_id"))
+
+
+def exact_dedup(docs: DataFrame, bucket_cells: int = BUCKET_CELLS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``.
 
     Of rows with identical text the one with the largest doc_id stays.  A null text
@@ -76,10 +104,7 @@ def exact_dedup(docs: DataFrame, bucket_cells: int = 1 << 20) -> DataFrame:
     each is returned, and each with the largest id is kept.  A null doc_id loses to
     any other.  An empty table gives an empty result.  Other columns are ignored.
     """
-    rows = id_and_text(docs)
-    index = build_index(rows, bucket_cells)
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("hash"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    return keyed.join(index, ["hash", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    return decide(id_and_text(docs), bucket_cells).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE_SQL = """
