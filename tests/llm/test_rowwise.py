@@ -60,6 +60,81 @@ def test_literals_reach_sensitive_names(text, secret):
     assert (at, at + len(secret), "literal") in [x[:3] for x in secrets.find(text)]
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('password: str = "Zx9!kk2Lq0"', "Zx9!kk2Lq0"),
+        ('var passphrase string = "Zx9!kk2Lq0"', "Zx9!kk2Lq0"),
+        ('const pwd: string | null = "Zx9!kk2Lq0"', "Zx9!kk2Lq0"),
+        ('pwd = prefix + "AbC1!23xyz"', "AbC1!23xyz"),
+        ('pwd = os.getenv("DATABASE_PASSWORD", "Lq0!zz81Ax")', "Lq0!zz81Ax"),
+        ('pwd = """Lq0!zz81Ax"""', "Lq0!zz81Ax"),
+        ('passphrase = "correct horse battery staple 9"', "correct horse battery staple 9"),
+        ("my_secret_" + "n" * 500 + ' = "Qw3rTy9!zz#k"', "Qw3rTy9!zz#k"),
+        ('pwd = "Samples8!todos"', "Samples8!todos"),
+    ],
+)
+def test_forms_of_assignment(text, secret):
+    at = text.index(secret)
+    assert (at, at + len(secret), "literal") in [x[:3] for x in secrets.find(text)]
+
+
+def test_rest_of_a_literal_is_reported():
+    text = 'password = "Abcdefgh1!xyzSECRET99"'
+    assert [x[2:] for x in secrets.find(text)] == [("assign", 12, 21), ("literal", 21, 33)]
+    assert secrets.redact(text) == 'password = "[SECRET]"'
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'a = "Xy9"\n' + "a = a + a\n" * 10_000 + "pwd = a",
+        "a=" * 300_000,
+        "x=f(" * 100_000,
+        'pwd = "' + "aB3!" * 250_000 + '"',
+        "token_" + "n" * 1_000_000 + " = 5",
+        'a = "Xy9!"\nb = ' + " + ".join(["a"] * 100_000) + "\npwd = b",
+        "a: b " * 200_000,
+        '= "' * 200_000,
+        "-" * 500_000 + "=" + ":" * 100_000,
+    ],
+)
+def test_work_is_linear(text):
+    import time
+
+    start = time.monotonic()
+    secrets.find(text)
+    assert time.monotonic() - start < 10
+
+
+def test_constants_against_an_interpreter():
+    """Random programs: what reaches a sensitive name, by running them on whole strings."""
+    rng = np.random.default_rng(4)
+    names = ["pwd", "auth_key", "title", "a", "b", "signingKey"]
+    for _ in range(300):
+        text, held, want = "", {}, set()
+        for _ in range(int(rng.integers(1, 9))):
+            name = names[rng.integers(len(names))]
+            text += f"{name} {rng.choice(['=', ':=', '=>'])} "
+            value, spans = "", []
+            for i in range(int(rng.integers(1, 4))):
+                text += " + " if i else ""
+                if held and rng.random() < 0.5:
+                    other = list(held)[rng.integers(len(held))]
+                    text += other
+                    value, spans = value + held[other][0], spans + held[other][1]
+                else:
+                    word = "".join(rng.choice(list("aB3!xZ9#kQ"), int(rng.integers(1, 9))))
+                    spans = [*spans, (len(text) + 1, len(text) + 1 + len(word))]
+                    text += f'"{word}"'
+                    value += word
+            text += "\n"
+            held[name] = (value, spans)
+            if secrets.name_score(name) * secrets.literal_score(secrets.literal(value, (0, 0))) >= secrets.REPORT:
+                want.update(spans)
+        assert {x[:2] for x in secrets.find(text) if x[2] == "literal"} == want, text
+
+
 @pytest.mark.parametrize("text", ['pwd = "changeme"', 'title = "Tr0ub4dor&3x"', "secret_santa: the list of names", 'pwd = "<your password>"', "see http://token/abcdefghijk", "a = b\nb = a"])
 def test_innocent_assignments(text):
     assert [x for x in secrets.find(text) if x[2] == "literal"] == []

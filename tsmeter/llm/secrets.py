@@ -5,6 +5,9 @@ The lexer reads source and configuration syntax (``name = "literal"``,
 carries constants from name to name, and scores the literals that reach a name by
 how sensitive that name is and how little the literal looks like a placeholder.
 
+A constant is kept as counts of its characters and links to its parts, never as text
+of its whole length, so the work is linear in a text however constants are doubled.
+
 Scale: one narrow pass over the texts, no shuffle, nothing kept between rows.
 """
 
@@ -27,8 +30,6 @@ ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # 16 characters or more
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-#: Longest identifier that the lexer reads as a target name.
-MAX_NAME = 128
 #: The score from which a literal is reported.
 REPORT = 0.5
 #: How sensitive a target is that has all these words in its name.
@@ -37,12 +38,25 @@ SENSITIVE = (
     (("private", "key"), 1.0), (("access", "key"), 0.9), (("signing", "key"), 0.9), (("encryption", "key"), 0.9), (("credential",), 0.9), (("credentials",), 0.9), (("bearer",), 0.8), (("auth",), 0.7), (("authorization",), 0.8), (("pin",), 0.3), (("salt",), 0.5), (("key",), 0.5),
 )
 
+#: Targets whose literals may hold blanks.
+PHRASES = ("passphrase", "mnemonic")
+#: A placeholder is not longer than this.
+SHORT = 256
+
 _operator = re.compile(r":=|=>|=(?!=)|:(?!//)")
-_name_before = re.compile(r"([A-Za-z_$][\w$.\-]*)[\"'`\]]*[ \t]*$", re.ASCII)
-_part = re.compile(r"""[ \t]*(?:(?P<prefix>[rbfuRBFU]{0,2})(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)|(?P<name>[A-Za-z_$][\w$.]*(?=[\s;,)\]}+#]|$))|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""", re.ASCII)
+# read backwards from an operator: blanks, closing quotes, the name, and what stands before it
+_name_before = re.compile(r"[ \t]*[\"'`\]]*([\w$.\-]*[A-Za-z_$])(?:[ \t]+([\w$]*[A-Za-z_$])[ \t]+(?:rav|tsnoc)\b)?", re.ASCII)
+_typed = re.compile(r"[ \t]*[A-Za-z_&][\w.\[\]<>?&']*(?:[ \t]*\|[ \t]*[\w.\[\]<>?&']+)*[ \t]*=(?![=>])", re.ASCII)
+_part = re.compile(
+    r"""[ \t]*(?:(?:[rbfuRBFU]{0,2})(?:(?P<triple>\"{3}|'{3})(?P<long>.*?)(?P=triple)|(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote))|(?P<call>[A-Za-z_$][\w$.]*)\(|(?P<name>[A-Za-z_$][\w$.]*)(?=[\s;,)\]}+#]|$)|(?P<bare>[^\s"'`,;(){}\[\]<>#]+))""",
+    re.ASCII | re.DOTALL,
+)
+_argument = re.compile(r"""[^"'`)=:\n]*(?P<quote>["'`])(?P<text>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)""")
+_close = re.compile(r"[^)=:\n]*\)")
 _plus = re.compile(r"[ \t]*(?:\+|\.\.|\.(?=[ \t]*[\"']))")
 _words = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_placeholder = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|\{\{.*\}\}|\[.*\])$|change.?me|example|placeholder|your[_\- ]|dummy|sample|todo|redacted|^(?:none|null|true|false|undefined)$", re.IGNORECASE)
+_placeholder = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|\{\{.*\}\}|\[.*\])$|change.?me|your[_\- ]|(?:^|[\W_])(?:example|placeholder|dummy|sample|todo|redacted)(?:$|[\W_])|^(?:none|null|true|false|undefined)$", re.IGNORECASE)
+_variable = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+")
 
 
 def name_score(name: str) -> float:
@@ -51,50 +65,129 @@ def name_score(name: str) -> float:
     return max((s for need, s in SENSITIVE if words.issuperset(need)), default=0.0)
 
 
-def literal_score(text: str) -> float:
-    """0 to 1: long, varied, unbroken literals score high; placeholders score 0."""
-    n = len(text)
-    if n < 8 or any(c.isspace() for c in text) or _placeholder.search(text):
+class Value:
+    """What a name holds: counts of characters, the parts it was made of, and its text if
+    that is short.  ``span`` is the literal's own place."""
+
+    __slots__ = ("counts", "size", "text", "span", "parts")
+
+    def __init__(self, counts: Counter, size: int, text: str | None, span: tuple[int, int] | None, parts: tuple):
+        self.counts, self.size, self.text, self.span, self.parts = counts, size, text, span, parts
+
+
+def literal(text: str, span: tuple[int, int]) -> Value:
+    return Value(Counter(text), len(text), text if len(text) <= SHORT else None, span, ())
+
+
+def joined(parts: list[Value]) -> Value:
+    if len(parts) == 1:
+        return parts[0]
+    counts: Counter = Counter()
+    for p in parts:
+        counts.update(p.counts)
+    size = sum(p.size for p in parts)
+    return Value(counts, size, "".join(p.text or "" for p in parts) if size <= SHORT else None, None, tuple(parts))
+
+
+def literal_score(value: Value, blanks: bool = False) -> float:
+    """0 to 1: long, varied literals score high; placeholders score 0, and so do those
+    with white space unless ``blanks`` are allowed."""
+    n = value.size
+    if n < 8 or (not blanks and any(c.isspace() for c in value.counts)) or (value.text is not None and _placeholder.search(value.text)):
         return 0.0
-    counts = Counter(text)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
+    entropy = -sum(c / n * math.log2(c / n) for c in value.counts.values())
+    kinds = sum(any(f(c) for c in value.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value.counts)
     return min(1.0, entropy / 3.5) * (1.0 if kinds >= 2 else 0.45)
 
 
-def lex(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """(target name, value, spans of the literals it is made of), constants propagated."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
+def lex(text: str) -> list[tuple[str, Value]]:
+    """(target name, value) pairs in order, constants propagated.
+
+    The target is the whole name before ``=``, ``:=``, ``:`` or ``=>`` (a type may stand
+    between); its value is made of literals, known names and the literals among a
+    call's arguments, joined by ``+``.  A value without any literal is its bare word.
+    """
+    known: dict[str, Value] = {}
     pairs = []
-    done = 0
+    done, n, back = 0, len(text), None
     for op in _operator.finditer(text):
         if op.start() < done:
             continue
-        before = _name_before.search(text, max(0, op.start() - MAX_NAME), op.start())
+        back = text[::-1] if back is None else back
+        before = _name_before.match(back, n - op.start())
         if not before:
             continue
-        value, spans, at, quoted = "", (), op.end(), False
+        name = (before[2] or before[1])[::-1]
+        at = op.end()
+        if op[0] == ":" and (typed := _typed.match(text, at)):
+            at = typed.end()
+        parts: list[Value] = []
+        arguments: list[Value] = []
+        bare, quoted = None, False
         while part := _part.match(text, at):
-            if part["quote"] is not None:
-                value, spans, quoted = value + part["text"], (*spans, part.span("text")), True
-            elif part["name"] is not None and part["name"] in known:
-                value, spans, quoted = value + known[part["name"]][0], (*spans, *known[part["name"]][1]), True
-            elif not value and (word := part["bare"] or part["name"]):
-                value, spans = word, ((part.start("bare" if part["bare"] else "name"), part.end()),)
             at = part.end()
-            if not (more := _plus.match(text, at)) or not quoted:
+            if part["triple"] is not None:
+                parts.append(literal(part["long"], part.span("long")))
+                quoted = True
+            elif part["quote"] is not None:
+                parts.append(literal(part["text"], part.span("text")))
+                quoted = True
+            elif part["call"] is not None:
+                while argument := _argument.match(text, at):
+                    at = argument.end()
+                    if not _variable.fullmatch(argument["text"]):
+                        arguments.append(literal(argument["text"], argument.span("text")))
+                if not (close := _close.match(text, at)):
+                    break
+                at = close.end()
+            elif part["name"] is not None and part["name"] in known:
+                parts.append(known[part["name"]])
+                quoted = True
+            elif part["name"] is None:
+                if not parts and not arguments:
+                    bare = literal(part["bare"], part.span("bare"))
+                    done = max(done, at)
+                break
+            elif not parts and bare is None:
+                bare = literal(part["name"], part.span("name"))
+            if not (more := _plus.match(text, at)):
                 break
             at = more.end()
-        if spans:
-            done = max(done, at if quoted else op.end())
-            name = before[1]
-            known[name] = (value, spans)
-            pairs.append((name, value, spans))
+        if quoted:
+            done = max(done, at)
+        value = joined(parts) if parts else bare if not arguments else None
+        if value is not None:
+            known[name] = value
+            pairs.append((name, value))
+        pairs += [(name, a) for a in arguments]
     return pairs
 
 
+def _uncovered(spans: set[tuple[int, int]], base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``spans`` that no span of ``base`` covers, without overlaps."""
+    out, at, k, reach = [], 0, 0, 0
+    base = sorted(base)
+    for a, b in sorted(spans):
+        a = max(a, at)
+        while a < b:
+            while k < len(base) and base[k][0] <= a:
+                reach = max(reach, base[k][1])
+                k += 1
+            if reach > a:
+                a = min(reach, b)
+                continue
+            stop = min(b, base[k][0]) if k < len(base) else b
+            out.append((a, stop))
+            a = stop
+        at = max(at, b)
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, int, int]]:
-    """(start, end, kind, start and end of the secret itself), by start and kind."""
+    """(start, end, kind, start and end of the secret itself), by start and kind.
+
+    A literal that a base span covers in part is reported with what is left of it.
+    """
     found = []
     named = "=" in text or ":" in text
     if named:
@@ -103,21 +196,28 @@ def find(text: str) -> list[tuple[int, int, str, int, int]]:
         found += [(m.start(), m.end(), "access", *m.span()) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex", *m.span()) for m in HEX.finditer(text)]
     if named:
-        base, own = sorted(x[3:] for x in found), set()
-        for name, value, spans in lex(text):
-            if (weight := name_score(name)) and weight * literal_score(value) >= REPORT:
-                own.update((a, b) for a, b in spans if b > a)
-        found += [(a, b, "literal", a, b) for a, b in own if not any(x < b and a < y for x, y in base)]
+        todo = [v for name, v in lex(text) if (weight := name_score(name)) and weight * literal_score(v, any(p in name.lower() for p in PHRASES)) >= REPORT]
+        own: set[tuple[int, int]] = set()
+        seen: set[int] = set()
+        while todo:  # every part once, however often it is used
+            v = todo.pop()
+            if id(v) not in seen:
+                seen.add(id(v))
+                todo += v.parts
+                if v.span and v.span[1] > v.span[0]:
+                    own.add(v.span)
+        found += [(a, b, "literal", a, b) for a, b in _uncovered(own, [x[3:] for x in found])]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def redact(text: str, mark: str = "[SECRET]") -> str:
     """``text`` with every secret (not the name before it) replaced by ``mark``."""
-    out, at = [], 0
+    out, at = [], -1
     for a, b in sorted(x[3:] for x in find(text)):
-        if a >= at:
-            out += [text[at:a], mark]
+        if a > at:  # what touches the secret before it goes under the same mark
+            out += [text[max(at, 0) : a], mark]
         at = max(at, b)
+    at = max(at, 0)
     return "".join([*out, text[at:]])
 
 
