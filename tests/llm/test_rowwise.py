@@ -171,12 +171,75 @@ def test_binomial_tail(spark):
 
     from pyspark.sql import functions as F
 
-    data = [(k, n) for n in (1, 5, 40, 300) for k in (0, 1, 2, 3, 7) if k < n * 0.05] + [(2, 3000), (100, 3000)]
+    data = [(k, n) for n in (1, 5, 40, 300) for k in (0, 1, 2, 3, 7) if k < n * 0.05] + [(2, 3000), (100, 3000), (149, 3000)]
     for r in spark.createDataFrame(data, "k long, n long").select("k", "n", quality.log_tail(F.col("k"), F.col("n"), 0.05).alias("p")).collect():
         exact = sum(comb(r.n, i) * 0.05**i * 0.95 ** (r.n - i) for i in range(r.k + 1))
         assert exp(r.p) == pytest.approx(exact, rel=1e-9)
 
 
+def test_verdict_by_brute_force(spark):
+    """Order, exact tails, fixed sequence and verdicts on a small table, in plain Python."""
+    from math import comb
+
+    rng = np.random.default_rng(8)
+    made, marks = [], []
+    for i in range(1500):
+        bad = i % 5 == 0
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(50, 500)))]
+        if bad and i % 2 or rng.random() < 0.01:
+            words = [w + "###" * int(rng.integers(0, 2)) for w in words]
+        text = " ".join(words) + ("\n" + "same line again" ) * (int(rng.integers(0, 9)) if bad else int(rng.random() < 0.05))
+        made.append((i, text, ["en", "de"][i % 3 == 0]))
+        if i % 3 != 2:
+            marks.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality long, toxic long")
+    measured = {r["doc_id"]: r for r in rows(quality.measures(docs))}
+    value = {"symbols": lambda r: r["n_symbols"] / max(r["word_chars"], 1), "repeats": lambda r: r["n_repeat_words"] / max(r["n_words"], 1), "dup_lines": lambda r: r["n_dup_lines"] / max(r["n_lines"], 1), "long_words": lambda r: r["word_chars"] / max(r["n_words"], 1), "short": lambda r: -r["n_words"]}
+    label = {d: q for d, q, _ in marks}
+    used = {}
+    for lang in ("en", "de"):
+        own = [r for r in measured.values() if r["stratum"] == lang and not r["base_failed"]]
+        good, bad, plain = ([r for r in own if label.get(r["doc_id"]) == x] for x in (1, 0, None))
+        tests = []
+        for i, (rule, cut, loose) in enumerate(quality.TESTS):
+            hit = lambda r: value[rule](r) > cut  # noqa: B023, E731
+            if n := sum(map(hit, bad)):
+                tests.append((-n / (sum(map(hit, plain)) + 1) if plain else 0.0, loose, -n, i))
+        used[lang] = []
+        for *_, i in sorted(tests):
+            now = [*used[lang], i]
+            k = sum(any(value[quality.TESTS[j][0]](r) > quality.TESTS[j][1] for j in now) for r in good)
+            n = len(good)
+            if sum(comb(n, x) * 0.05**x * 0.95 ** (n - x) for x in range(k + 1)) > 0.05 / 2:
+                break
+            used[lang] = now
+    assert all(used.values())
+    out = rows(quality.quality(docs, labels))
+    for r in out:
+        m = measured[r["doc_id"]]
+        want = not m["base_failed"] and not any(value[quality.TESTS[j][0]](m) > quality.TESTS[j][1] for j in used[m["stratum"]])
+        assert r["kept"] == want
+    assert any(not r["kept"] and not r["base_failed"] for r in out)
+
+
+def test_cutoffs_reject_bad_documents_of_the_tables(spark, small):
+    folder = f"{small.removesuffix('sf0.001')}sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    out = quality.quality(spark.read.parquet(f"{folder}/documents.parquet"), labels).filter("not base_failed").join(labels, "doc_id")
+    got = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert got.get((0, False), 0) > 10 and got.get((1, False), 0) <= 0.05 * got[(1, True)]
+
+
+def test_many_strata_all_have_rules(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(70 * 300).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.col("id") % 70).alias("lang"), F.expr("array_join(transform(sequence(1, 120), i -> concat('a', i * (id + 3) % 9973, if(id % 10 = 1, '###', ''))), ' ')").alias("text"))
+    marks = docs.select("doc_id", F.expr("cast(doc_id div 70 % 10 <> 1 as long)").alias("quality"))
+    docs = docs.withColumn("text", F.expr("array_join(transform(sequence(1, 120), i -> concat('a', i * (doc_id + 3) % 9973, if(doc_id div 70 % 10 = 1, '###', ''))), ' ')"))
+    assert quality.quality(docs, marks).filter("kept").select("doc_id").join(marks, "doc_id").filter("quality = 0").count() == 0
+
+
 def test_quality_controls_false_rejection(spark, documents, labels):
     from pyspark.sql import functions as F
 

@@ -1,15 +1,22 @@
 """Quality rules with risk-controlled thresholds.
 
-DataFrame functions only.  Every text is measured inside its own row (no shuffle);
-labelled good documents then decide, for each rule, stratum and cutoff of a fixed
-grid, whether the share of good documents that the cutoff would reject is proven
-small: the exact binomial tail must stay below delta divided by the number of all
-tests (Bonferroni).  The strictest proven cutoff is used.
+DataFrame functions only.  Every text is measured inside its own row (no shuffle).
+Labelled documents then decide how strict the rules may be in each stratum.  A test is
+a rule with one cutoff of a fixed grid.  The labelled bad documents and the unlabelled
+ones put a stratum's tests in an order (first those that catch many bad ones for each
+unlabelled one; those that catch no bad one are left out); the labelled good ones,
+which had no say in that order, prove them: step by step one more
+test joins those that reject, and the exact binomial tail must show that all of them
+together reject at most a share alpha of the good documents.  A stratum's tests end at
+the first step that is not proven (fixed sequence), so only the number of strata that
+are tested divides delta (Bonferroni).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, shared_table
@@ -22,12 +29,6 @@ RULES = {
     "long_words": ("word_chars / greatest(n_words, 1)", (6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 16.0)),
     "short": ("-n_words", (-400.0, -200.0, -120.0, -80.0, -60.0)),
 }
-#: Cutoffs are learned for so many strata at most, the largest; it bounds the broadcast.
-MAX_STRATA = 64
-#: Above this many labels the exact tail gives way to the Chernoff bound, which is larger.
-EXACT_LABELS = 1_000_000
-
-
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, stratum (lang) and the counts of each whole text; null: no words."""
     line_spaces = SPACES.replace("\n", "")
@@ -47,59 +48,87 @@ def measures(docs: DataFrame) -> DataFrame:
     counted = base.select(
         "doc_id",
         "stratum",
+        F.xxhash64("text").alias("text_hash"),
         one(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated(w).alias("n_repeat_words"))).alias("w"),
         one(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
     )
-    return counted.select("doc_id", "stratum", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-
-
-def log_tail(k, n, rate: float):
-    """ln P(Binomial(n, rate) <= k): exact by summing terms in logs, 0 from the mean on."""
-    odds = F.log(F.lit(rate / (1 - rate)))
-    first = n * F.log(F.lit(1 - rate))
-    add = lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))
-    exact = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), k - 1),
-        F.struct(first.alias("term"), first.alias("total")),
-        lambda s, i: F.struct((s["term"] + F.log((n - i) / (i + 1)) + odds).alias("term"), add(s["total"], s["term"] + F.log((n - i) / (i + 1)) + odds).alias("total")),
+    return counted.select("doc_id", "stratum", "text_hash", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+
+def log_factorial(x: Column) -> Column:
+    """ln x! for whole x: exact to 20, then Stirling's series (error below 1e-14)."""
+    y = x + F.lit(1.0)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return F.when(x <= 20, F.log(F.factorial(F.least(x, F.lit(20)).cast("int")).cast("double"))).otherwise((y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series)
+
+
+def log_tail(k: Column, n: Column, rate: float) -> Column:
+    """ln P(Binomial(n, rate) <= k): the terms from k downward, in logs; 0 from the mean on.
+
+    Below the mean each term is less than the one above it, and 40 standard deviations
+    below k they are less than a double can add, so the sum ends there.
+    """
+    odds = F.log(F.lit((1 - rate) / rate))
+    top = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate))
+    terms = F.least(k, F.ceil(40 * F.sqrt(n * rate * (1 - rate))) + 100)
+    ratio = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), terms - 1),
+        F.struct(F.lit(0.0).alias("term"), F.lit(1.0).alias("total")),
+        lambda s, i: F.struct((s["term"] + F.log((k - i) / (n - k + i + 1)) + odds).alias("term"), (s["total"] + F.exp(s["term"] + F.log((k - i) / (n - k + i + 1)) + odds)).alias("total")),
         lambda s: s["total"],
     )
-    share = k / n
-    chernoff = -n * (F.when(share > 0, share * F.log(share / rate)).otherwise(0.0) + (1 - share) * F.log((1 - share) / (1 - rate)))
-    return F.when(k >= n * rate, F.lit(0.0)).when(n > EXACT_LABELS, chernoff).when(k == 0, first).otherwise(exact)
+    return F.when(k >= n * rate, F.lit(0.0)).when(k == 0, n * F.log(F.lit(1 - rate))).otherwise(top + F.log(ratio))
+
+
+#: All tests: (rule, cutoff, how many cutoffs of the rule are looser).
+TESTS = [(rule, float(cut), loose) for rule, (_, cuts) in RULES.items() for loose, cut in enumerate(sorted(cuts, reverse=True))]
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
     """stratum and one cutoff for each rule (null: none is proven).
 
-    alpha bounds the share of good documents that all rules together reject in a
-    stratum; each rule has alpha / number of rules.
+    With probability 1 - delta, in no stratum do the rules together reject more than a
+    share alpha of the good documents that pass the base rule.  Copies of a text count
+    once.
     """
-    good = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = measured.filter(~F.col("base_failed")).join(good, "doc_id")
-    tests = [(rule, cut) for rule, (_, cuts) in RULES.items() for cut in cuts]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.expr(f"cast({RULES[rule][0]} > {cut}D as long)")).alias(f"k{i}") for i, (rule, cut) in enumerate(tests)))
-    counts = counts.orderBy(F.desc("n"), "stratum").limit(MAX_STRATA)
-    rate = alpha / len(RULES)
-    level = F.log(F.lit(delta / (len(tests) * MAX_STRATA)))
-    each = counts.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cut"), F.col(f"k{i}").alias("k")) for i, (rule, cut) in enumerate(tests)))).alias("t")).select("stratum", "n", "t.*")
-    proven = each.filter(log_tail(F.col("k"), F.col("n"), rate) <= level)
-    return proven.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"cut_{rule}") for rule in RULES))
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].alias("quality")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    held = measured.filter(~F.col("base_failed")).join(known.filter("quality is not null"), "doc_id").withColumn("good", F.col("quality") == 1)
+    values = [F.expr(value).cast("double").alias(f"v_{rule}") for rule, (value, _) in RULES.items()]
+    held = shared_table(held.select("stratum", "text_hash", "good", *values).dropDuplicates(["stratum", "text_hash", "good"]), "quality-held")
+    above = [F.col(f"v_{rule}") > cut for rule, cut, _ in TESTS]
+    counted = lambda name: [F.count_if(x).alias(f"{name}{i}") for i, x in enumerate(above)]
+    caught = held.filter(~F.col("good")).groupBy("stratum").agg(*counted("b"))
+    plain = measured.filter(~F.col("base_failed")).join(known, "doc_id", "left_anti").select("stratum", *values).groupBy("stratum").agg(*counted("u"))
+    each = caught.join(plain, "stratum", "left").select("stratum", F.explode(F.array(*(F.struct(F.lit(i).alias("test"), F.lit(loose).alias("loose"), F.col(f"b{i}").alias("bad"), F.col(f"u{i}").alias("plain")) for i, (_, _, loose) in enumerate(TESTS)))).alias("t")).select("stratum", "t.*")
+    lift = F.coalesce(F.col("bad") / (F.col("plain") + 1), F.lit(0.0))  # without unlabelled documents loose cutoffs come first
+    ranks = each.filter("bad > 0").withColumn("step", F.row_number().over(Window.partitionBy("stratum").orderBy(lift.desc(), "loose", F.desc("bad"), "test")))  # a row for each test of a stratum
+    wide = ranks.groupBy("stratum").agg(*(F.min(F.when(F.col("test") == i, F.col("step"))).alias(f"s{i}") for i in range(len(TESTS))))
+    steps = [F.when(x, F.col(f"s{i}")) for i, x in enumerate(above)]
+    # the step at which a good document begins to be rejected (null: never)
+    first = held.filter("good").join(wide, "stratum").select("stratum", F.least(*steps).alias("step")).groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"))
+    sizes = first.groupBy("stratum").agg(F.sum("n").alias("n"))
+    lost = ranks.select("stratum", "step").join(first.withColumnRenamed("n", "k"), ["stratum", "step"], "left").withColumn("k", F.sum(F.coalesce("k", F.lit(0))).over(Window.partitionBy("stratum").orderBy("step")))
+    tested = lost.join(sizes, "stratum")
+    strata = sizes.agg(F.count(F.lit(1)).alias("strata"))  # one row
+    proven = tested.crossJoin(F.broadcast(strata)).withColumn("proven", log_tail(F.col("k"), F.col("n"), alpha) <= F.log(F.lit(delta) / F.col("strata")))
+    last = proven.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("proven"), F.col("step"))), F.lit(len(TESTS) + 1)).alias("end"))
+    used = ranks.join(last, "stratum").filter("step < end")
+    return used.groupBy("stratum").agg(*(F.min(F.when(F.col("test").isin([i for i, t in enumerate(TESTS) if t[0] == rule]), F.element_at(F.array(*(F.lit(t[1]) for t in TESTS)), F.col("test") + 1))).alias(f"cut_{rule}") for rule in RULES))
 
 
 def quality(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """Counts, base verdict and kept for every row of ``docs``.
 
-    Null texts have no words and fail the base rule.  A stratum (lang) without
-    enough labels has no proven cutoff, so only the base rule speaks there; so does
-    an empty ``labels``.  Of contradicting labels the worse counts.  Repeated rows
+    Null texts have no words and fail the base rule.  A stratum (lang; null counts as
+    '') without enough labels has no proven cutoff, so only the base rule speaks there; so
+    does an empty ``labels``.  Of contradicting labels the worse counts.  Repeated rows
     are judged each.  Equal windows are told by 64-bit hashes of their words.
     """
     measured = shared_table(measures(docs), "quality-measures")
-    cuts = cutoffs(measured, labels, alpha, delta)
-    judged = measured.join(F.broadcast(cuts), "stratum", "left")  # at most MAX_STRATA rows
+    cuts = shared_table(cutoffs(measured, labels, alpha, delta), "quality-cutoffs")
+    judged = measured.join(cuts, "stratum", "left")  # a row for each stratum: planned by its size
     rejected = [F.coalesce(F.expr(value) > F.col(f"cut_{rule}"), F.lit(False)) for rule, (value, _) in RULES.items()]
     bad = F.col("base_failed")
     for x in rejected:
