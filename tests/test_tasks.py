@@ -161,21 +161,40 @@ def test_adapters(spark):
     make = lambda name, **o: adapters.convert(past, future, name, targets=["x", "y"], static=["site"], **o)
     t = make("pandas")
     assert t["past"].count() == 58 and t["future"].count() == 9 and t["static"].columns == ["window_idx", "id", "site"] and "site" not in t["past"].columns
-    g = make("gluonts")
+    g = make("entries")
     assert dict(g["past"].dtypes)["x"] == "float" and {r.kind for r in g["past"].select("kind").distinct().collect()} == {-1, 0, 1} and g["prediction"].filter("is_future and x is null").count() == 9
-    n = make("nixtla", univariate=True)
+    n = make("unique_id", univariate=True)
     assert {"window_idx", "unique_id", "ds", "y"} <= set(n["past"].columns) and n["past"].select("unique_id").distinct().count() == 6
-    assert "item_id" in make("autogluon", univariate=True)["future"].columns
-    d = make("darts")["series"]
+    assert "item_id" in make("item_id", univariate=True)["future"].columns
+    d = make("covariates")["series"]
     assert all(len(r.known) == len(r.x) + 3 for r in d.collect()) and "kind" not in d.columns
     with pytest.raises(KeyError):
         make("nope")
     with pytest.raises(ValueError, match="one target"):
-        make("nixtla")
+        make("unique_id")
     with pytest.raises(ValueError, match="exists"):
         adapters.as_univariate(past, future, ["x", "y"], "id", "timestamp", "known")
 
 
+def test_predictions_must_match_one_to_one(spark):
+    t = task().use(two_targets(spark))
+    f = ForecastingModel.named("naive")().fit_predict(spark, t)
+    assert t.evaluation_summary(spark, f, "m")["num_forecasts"] == f.count()
+    one = f.limit(1)
+    for wrong, side in ((f.unionByName(one), "repeated"), (f.unionByName(one.withColumn("id", F.lit("zz"))), "surplus"), (f.filter("id <> 'a'"), "missing")):
+        assert {r.side for r in predictions.unmatched(t.windows(), wrong, ["x", "y"]).collect()} == {side}
+        with pytest.raises(ValueError, match="one to one"):
+            t.evaluation_summary(spark, wrong, "m")
+
+
+def test_items_are_ordered_by_id_in_each_window(spark):
+    t = task().use(two_targets(spark))
+    got = {}
+    for r in t.windows(ordered=True).select("window_idx", "id", "item_ord").collect():
+        got.setdefault(r.window_idx, {})[r.id] = r.item_ord
+    assert len(got) == 2 and all(own == {x: i for i, x in enumerate(sorted(own))} for own in got.values())
+
+
 def test_unmatched_and_ensemble(spark):
     t = task().use(two_targets(spark))
     f = ForecastingModel.named("naive")().fit_predict(spark, t)

@@ -77,14 +77,14 @@ def regular_months(timestamps: Column | str) -> Column:
 
 def with_regularity(df: DataFrame, timestamps: str, name: str = "regular") -> DataFrame:
     """Adds whether a series is regular.  Constant steps and steps of months are told by
-    expressions; only what they leave open goes to Arrow batches (anchored calendars)."""
-    quick = F.coalesce(regular_delta(timestamps), regular_months(timestamps).cast("double")).isNotNull() & (F.size(timestamps) >= 3)
+    expressions; only rows that these leave open go to Arrow batches (anchored calendars)."""
+    long = F.coalesce(F.size(timestamps) >= 3, F.lit(False))
+    told = F.coalesce(regular_delta(timestamps), regular_months(timestamps).cast("double")).isNotNull()
 
     @F.pandas_udf("boolean")
     def slow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: infer(t) is not None if t is not None else True)
+            yield batch.map(lambda t: infer(t) is not None)
 
-    marked = df.withColumn(name, quick)
-    open_only = F.when(~F.col(name) & (F.size(timestamps) >= 3), F.col(timestamps))
-    return marked.withColumn(name, F.col(name) | ((F.size(timestamps) >= 3) & slow(open_only)))
+    settled = df.filter(told | ~long).withColumn(name, told & long)
+    return settled.unionByName(df.filter(~told & long).withColumn(name, slow(F.col(timestamps))))

@@ -1,7 +1,7 @@
 """Input data in the shapes that forecasting libraries read, as DataFrames.
 
 Each adapter takes the past and future of windows (nested, see ``windows``) and gives
-tables whose content the named kind of library expects; nothing is collected.
+tables in one layout, after whose key it is named; nothing is collected.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _narrow(df: DataFrame, id_column: str, ordinal: bool) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("float") for c in numbers}) if numbers else df
 
 
-def gluonts(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
+def entries(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
     """Past and prediction rows (past, then future with missing targets) of floats and
     codes; codes are made for past and future apart.  Also past_only and known names."""
     p = _narrow(_long(past, id_column, timestamp_column), id_column, True)
@@ -62,21 +62,21 @@ def _univariate(targets: Sequence[str]) -> str:
     return targets[0]
 
 
-def nixtla(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
+def unique_id(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
     target = _univariate(targets)
     names = {id_column: "unique_id", timestamp_column: "ds", target: "y"}
     out = long(past, future, targets=targets, id_column=id_column, timestamp_column=timestamp_column, static=static)
     return {k: None if t is None else t.withColumnsRenamed(names) for k, t in out.items()}
 
 
-def autogluon(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
+def item_id(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
     target = _univariate(targets)
     names = {id_column: "item_id", timestamp_column: "timestamp", target: "target"}
     out = long(past, future, targets=targets, id_column=id_column, timestamp_column=timestamp_column, static=static)
     return {k: None if t is None else t.withColumnsRenamed(names) for k, t in out.items()}
 
 
-def darts(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
+def covariates(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
     """Per series: target, past covariates and future covariates (past, then future), numeric only, as float arrays."""
     keep = [k for k in KEYS if k in past.columns]
     numeric = [f.name for f in past.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, (T.NumericType, T.BooleanType)) and f.name not in targets]
@@ -89,7 +89,7 @@ def darts(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_c
     return {"series": series, "past": past, "future": future, "static": _statics(past, id_column, static)}
 
 
-ADAPTERS: dict[str, Callable[..., Tables]] = {"datasets": nested, "nested": nested, "pandas": long, "long": long, "gluonts": gluonts, "nixtla": nixtla, "autogluon": autogluon, "darts": darts}
+ADAPTERS: dict[str, Callable[..., Tables]] = {"datasets": nested, "nested": nested, "pandas": long, "long": long, "entries": entries, "unique_id": unique_id, "item_id": item_id, "covariates": covariates}
 
 
 def as_univariate(past: DataFrame, future: DataFrame, targets: Sequence[str], id_column: str, timestamp_column: str, target_column: str = "target") -> tuple[DataFrame, DataFrame]:

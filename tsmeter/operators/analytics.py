@@ -24,7 +24,7 @@ TASK_TYPES = {
 RESULT_TYPES = TASK_TYPES | {"model_name": "string", "test_error": "double", "training_time_s": "double", "trained_on_this_dataset": "boolean", "inference_time_s": "double", "num_forecasts": "bigint", "engine_version": "string"}
 TASK_COLUMNS = list(TASK_TYPES)
 #: Summaries of earlier versions may not be comparable.
-COMPATIBLE_SINCE = "0.6.0"
+COMPATIBLE_SINCE = "1.0.0"
 TIMES = ("training_time_s", "inference_time_s", "e2e_time_s")
 
 
@@ -63,7 +63,7 @@ def check_versions(summaries: DataFrame, column: str = "engine_version") -> None
         try:
             parsed.append(tuple(int(x) for x in str(r[0]).split("+")[0].replace("rc", ".").replace("dev", ".").split(".") if x))
         except ValueError as e:
-            raise ValueError(f"Unable to parse the version {r[0]!r} of evaluation summaries") from e
+            raise ValueError(f"Unable to parse {r[0]!r} as a version") from e
     if parsed and min(parsed) < tuple(map(int, COMPATIBLE_SINCE.split("."))):
         warnings.warn(f"Evaluation summaries contain results from before {COMPATIBLE_SINCE}, which may not be comparable", stacklevel=3)
 
@@ -82,10 +82,10 @@ def pivot_table(summaries: DataFrame, metric: str = "test_error", baseline_model
     if baseline_model is None:
         return wide.orderBy(*(F.asc_nulls_first(c) for c in columns))
     if baseline_model not in models:
-        raise ValueError(f"baseline_model '{baseline_model}' is missing. Available models: {models}")
+        raise ValueError(f"The baseline {baseline_model!r} is missing; there are {models}")
     none = wide.filter(F.col(f"`{baseline_model}`").isNull()).count()
     if none:
-        raise ValueError(f"Results for baseline_model '{baseline_model}' are missing for {none} tasks")
+        raise ValueError(f"Results of the baseline {baseline_model!r} are missing for {none} tasks")
     base = F.col(f"`{baseline_model}`")
     return wide.select(*columns, *(F.try_divide(F.col(f"`{m}`"), base).alias(m) for m in models)).orderBy(*(F.asc_nulls_first(c) for c in columns))
 
@@ -114,9 +114,9 @@ def impute_leakage(scores: DataFrame, model: str, flag: str = "trained_on_this_d
 
 def check_leakage_model(summaries: DataFrame, model: str, models: Sequence[str]) -> None:
     if model not in models:
-        raise ValueError(f"leakage_imputation_model '{model}' is missing. Available models: {list(models)}")
+        raise ValueError(f"The model {model!r}, which is to replace leaked results, is missing; there are {list(models)}")
     if summaries.filter((F.col("model_name") == model) & F.coalesce("trained_on_this_dataset", F.lit(False))).limit(1).count():
-        raise ValueError("The leakage imputation model must not be trained on any task")
+        raise ValueError("The model that replaces leaked results must not be trained on a task itself")
 
 
 def clip_errors(scores: DataFrame, low: float | None, high: float | None) -> DataFrame:
@@ -136,7 +136,7 @@ def handle_missing(scores: DataFrame, strategy: str, impute: Column | float | No
         return scores.withColumn("score", F.coalesce(F.col("score"), F.lit(float(impute)) if isinstance(impute, (int, float)) else impute))
     if strategy == "error":
         return scores
-    raise ValueError(f"Invalid missing_strategy={strategy!r}, expected one of ['error', 'drop', 'impute']")
+    raise ValueError(f"Invalid strategy {strategy!r} for missing results: error, drop or impute")
 
 
 def duels(scores: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def runtimes(summaries: DataFrame, per: float | None = None, columns: Sequence[s
 def check_num_forecasts(summaries: DataFrame, columns: Sequence[str] = TASK_COLUMNS) -> None:
     bad = summaries.groupBy(*columns).agg(F.count_distinct("num_forecasts").alias("n")).filter("n <> 1").limit(1).count()
     if bad:
-        raise ValueError("Column 'num_forecasts' has inconsistent values across models for the same task")
+        raise ValueError("num_forecasts is inconsistent: models of one task differ in it")
 
 
 def _raise_failures(scores: DataFrame) -> None:
@@ -281,13 +281,13 @@ def leaderboard(
     check_duplicates(summaries, columns)
     models = models_of(summaries)
     if baseline_model not in models:
-        raise ValueError(f"baseline_model '{baseline_model}' is missing. Available models: {models}")
+        raise ValueError(f"The baseline {baseline_model!r} is missing; there are {models}")
     if normalize_time_per_n_forecasts is not None:
         check_num_forecasts(summaries, columns)
     scores = grid(summaries, metric, models, columns, ["trained_on_this_dataset"])
     none = scores.filter((F.col("model_name") == baseline_model) & F.col("score").isNull()).count()
     if none:
-        raise ValueError(f"Results for baseline_model '{baseline_model}' are missing for {none} tasks")
+        raise ValueError(f"Results of the baseline {baseline_model!r} are missing for {none} tasks")
     errors = relative_errors(scores, baseline_model)
     if leakage_imputation_model is not None:
         check_leakage_model(summaries, leakage_imputation_model, models)
@@ -298,7 +298,7 @@ def leaderboard(
         _raise_failures(errors)
     errors = handle_missing(errors, missing_strategy, 1.0)
     if missing_strategy == "drop" and not errors.limit(1).count():
-        raise ValueError("All results are missing for some models.")
+        raise ValueError("No task is left that has results of every model")
     times = runtimes(summaries, normalize_time_per_n_forecasts, columns).join(errors.select("task").distinct(), "task", "left_semi")
     suffix = "" if normalize_time_per_n_forecasts is None else f"_per{int(normalize_time_per_n_forecasts)}"
     usage = times.groupBy("model_name").agg(*(F.median(c).alias(f"median_{c}{suffix}") for c in TIMES), F.avg("overlap").alias("training_corpus_overlap"))
@@ -344,12 +344,12 @@ def pairwise_comparison(
         if baseline_model is None:
             raise ValueError("baseline_model is required when missing_strategy='impute'")
         if baseline_model not in models:
-            raise ValueError(f"baseline_model '{baseline_model}' is missing. Available models: {models}")
+            raise ValueError(f"The baseline {baseline_model!r} is missing; there are {models}")
         scores = handle_missing(scores, "impute", of_model("score", baseline_model))
     else:
         scores = handle_missing(scores, missing_strategy)
     if missing_strategy == "drop" and not scores.limit(1).count():
-        raise ValueError("All results are missing for some models.")
+        raise ValueError("No task is left that has results of every model")
     out = pairwise(scores, min_relative_error, max_relative_error)
     if n_resamples is not None:
         out = _with_intervals(out, scores, summaries, columns, n_resamples, seed, alpha, True, min_relative_error, max_relative_error)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import known
+from .reshape import ordered
 
 
 def _ordered(keys: Sequence[str], order: str):
@@ -68,7 +69,7 @@ def category_codes(df: DataFrame, columns: Sequence[str], scope: DataFrame | Non
     """
     for c in columns:
         values = (scope if scope is not None else df).select(F.col(c).alias("_v")).filter("_v is not null").distinct()
-        codes = values.withColumn("_code", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
+        codes = ordered(values, "_v").withColumn("_code", F.col("item_ord").cast("int")).drop("item_ord")
         df = df.join(codes, df[c] == codes["_v"], "left").withColumn(c, F.coalesce("_code", F.lit(missing))).drop("_v", "_code")
     return df
 

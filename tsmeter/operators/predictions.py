@@ -91,12 +91,13 @@ def validate(predictions: DataFrame, targets: Sequence[str], horizon: int, level
 
 
 def unmatched(windows: DataFrame, predictions: DataFrame, targets: Sequence[str], key: str = "id") -> DataFrame:
-    """Keys that only one side has: side is 'missing' (no prediction) or 'surplus'."""
-    names = F.array(*(F.lit(t) for t in targets))
-    want = windows.select("window_idx", key, F.explode(names).alias("target_name"))
-    have = predictions.select("window_idx", key, "target_name")
+    """Keys that do not match one to one: side is 'missing' (no prediction), 'surplus' (no
+    series or target) or 'repeated' (several predictions).  One join, one job."""
     on = ["window_idx", key, "target_name"]
-    return want.join(have, on, "left_anti").withColumn("side", F.lit("missing")).unionByName(have.join(want, on, "left_anti").withColumn("side", F.lit("surplus")))
+    want = windows.select("window_idx", key, F.explode(F.array(*(F.lit(t) for t in targets))).alias("target_name")).withColumn("wanted", F.lit(True))
+    have = predictions.groupBy(*on).agg(F.count(F.lit(1)).alias("given"))
+    side = F.when(F.col("given").isNull(), "missing").when(F.col("wanted").isNull(), "surplus").when(F.col("given") > 1, "repeated")
+    return want.join(have, on, "full").select(*on, side.alias("side")).filter("side is not null")
 
 
 def ensemble(predictions: DataFrame, by: Sequence[str], levels: Sequence[float] = ()) -> DataFrame:

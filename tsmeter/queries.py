@@ -625,32 +625,32 @@ def converted(spark, sf_dir, adapter: str, univariate: bool = False) -> dict:
 
 
 @query(f"WITH {DAILY}, {positions('daily')}, {cutting()} SELECT CAST(window_idx AS INT) AS window_idx, id AS unique_id, strftime(timestamp, '%Y-%m-%d') AS ds, round(target, 6) AS y, n_events FROM past")
-def nixtla_past(spark, sf_dir):
-    p = converted(spark, sf_dir, "nixtla")["past"]
+def unique_id_past(spark, sf_dir):
+    p = converted(spark, sf_dir, "unique_id")["past"]
     return p.select(F.col("window_idx").cast("int").alias("window_idx"), "unique_id", F.date_format("ds", "yyyy-MM-dd").alias("ds"), r("y").alias("y"), "n_events")
 
 
 @query(f"WITH {DAILY}, {positions('daily')}, {cutting()} SELECT CAST(window_idx AS INT) AS window_idx, id AS unique_id, strftime(timestamp, '%Y-%m-%d') AS ds, n_events FROM fut")
-def nixtla_future(spark, sf_dir):
-    f = converted(spark, sf_dir, "nixtla")["future"]
+def unique_id_future(spark, sf_dir):
+    f = converted(spark, sf_dir, "unique_id")["future"]
     return f.select(F.col("window_idx").cast("int").alias("window_idx"), "unique_id", F.date_format("ds", "yyyy-MM-dd").alias("ds"), "n_events")
 
 
 @query(f"WITH {DAILY}, {positions('daily')}, {cutting()} SELECT CAST(window_idx AS INT) AS window_idx, id, count(*) AS steps, count(t) AS known, round(sum(n_events), 4) AS covariate FROM (SELECT window_idx, id, target AS t, n_events FROM past UNION ALL SELECT window_idx, id, NULL, n_events FROM fut) GROUP BY 1, 2")
 def past_plus_future(spark, sf_dir):
-    p = converted(spark, sf_dir, "gluonts")["prediction"]
+    p = converted(spark, sf_dir, "entries")["prediction"]
     return p.groupBy(F.col("window_idx").cast("int").alias("window_idx"), "id").agg(F.count(F.lit(1)).alias("steps"), F.count("target").alias("known"), r(F.sum(F.col("n_events").cast("double")), 4).alias("covariate"))
 
 
 @query(f"WITH {DAILY}, {positions('daily')}, {cutting()} SELECT CAST(window_idx AS INT) AS window_idx, id, CAST(count(*) AS BIGINT) AS covariate_steps, round(sum(n_events), 4) AS covariate FROM (SELECT window_idx, id, n_events FROM past UNION ALL SELECT window_idx, id, n_events FROM fut) GROUP BY 1, 2")
-def darts_series(spark, sf_dir):
-    s = converted(spark, sf_dir, "darts")["series"]
+def covariate_series(spark, sf_dir):
+    s = converted(spark, sf_dir, "covariates")["series"]
     return s.select(F.col("window_idx").cast("int").alias("window_idx"), "id", F.size("n_events").cast("long").alias("covariate_steps"), r(F.aggregate("n_events", F.lit(0.0), lambda a, b: a + b), 4).alias("covariate"))
 
 
 @query(f"WITH {DAILY}, {positions('daily')}, {cutting()} SELECT CAST(window_idx AS INT) AS window_idx, id || '_' || n AS id, count(*) AS steps, round(sum(v), 4) AS total FROM (SELECT window_idx, id, 'target' AS n, target AS v FROM past UNION ALL SELECT window_idx, id, 'users', users FROM past) GROUP BY 1, 2")
 def as_univariate(spark, sf_dir):
-    p = converted(spark, sf_dir, "autogluon", True)["past"]
+    p = converted(spark, sf_dir, "item_id", True)["past"]
     return p.groupBy(F.col("window_idx").cast("int").alias("window_idx"), F.col("item_id").alias("id")).agg(F.count(F.lit(1)).alias("steps"), r(F.sum("target"), 4).alias("total"))
 
 
