@@ -268,6 +268,35 @@ def test_language(spark, odd):
         assert (got["lang_pred"] == "und") == (not any(c.isalpha() for c in r.text or ""))
 
 
+def test_language_by_brute_force(odd):
+    """Exact trigram sets in place of the filters: the same languages, about the same scores."""
+    source = [r for r in odd.select("doc_id", "lang", "text").collect()]
+    fold = lambda d: zlib.crc32(str(d).encode()) % 4
+    grams = lambda t: [g for c in langid.trigrams(t) for g in c.tolist()]
+    counts = {}
+    for r in source:
+        if fold(r.doc_id) != 2 and r.lang is not None and r.text is not None:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = Counter()
+    for c in rates.values():
+        for g, x in c.items():
+            top[g] = max(top[g], x)
+    owned = {lang: {g for g, x in rates[lang].items() if c[g] >= 2 and x >= 0.5 * top[g]} for lang, c in counts.items()}
+    out = {}
+    for r in rows(langid.identify(odd)):
+        out.setdefault(r["doc_id"], r)
+    same, total = 0, 0
+    for r in source:
+        g = grams(r.text or "")
+        share = {lang: sum(x in o for x in g) / max(len(g), 1) for lang, o in owned.items()}
+        if sum(share.values()) and any(c.isalpha() for c in r.text or ""):
+            best = max(sorted(share), key=lambda x: share[x])
+            total += 1
+            same += out[r.doc_id]["lang_pred"] == best and abs(out[r.doc_id]["score"] - share[best] / sum(share.values())) < 0.05
+    assert total > 150 and same >= 0.98 * total
+
+
 def test_many_languages_need_more_than_one_plane():
     langs = [f"l{i:03}" for i in range(70)]
     words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" * 4 for i in range(70)]

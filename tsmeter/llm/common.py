@@ -32,11 +32,13 @@ def id_fold(mod: int, doc_id: Column | str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, local runs) a temporary folder is made,
-    one for each application.
+    Only where a local session names none (tests) a temporary folder is made, one for
+    each application; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs[app] if app in _own_dirs else _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="tsmeter-shared-"))
     return base.rstrip("/")
@@ -54,6 +56,12 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """A table of the shared folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def connected_components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
@@ -62,7 +70,8 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
     long a chain is.  Each round is written to the shared folder.  Both steps
     aggregate with a map-side ``min`` and join back, so a node that holds a third
     of all edges is never gathered into one list; adaptive execution splits its
-    join partition.  Returns ``node``, ``component``; empty for no edges.
+    join partition.  A round's table goes when the next is written.  Returns ``node``,
+    ``component``; empty for no edges.
     """
     spark = edges.sparkSession
 
@@ -83,11 +92,18 @@ def connected_components(edges: DataFrame, label: str = "components", max_rounds
         found = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
         return bool(found.filter((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("root") > 0))).limit(1).count())
 
-    now = shared_table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), label)
+    def written(e: DataFrame) -> tuple[DataFrame, str]:
+        path = shared_path(spark, label)
+        e.write.parquet(path)
+        return spark.read.schema(e.schema).parquet(path), path
+
+    now, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     for _ in range(max_rounds):
         if not unsettled(now):
             break
-        now = shared_table(star(star(now, True), False), label)
+        last = path
+        now, path = written(star(star(now, True), False))
+        _remove(spark, last)
     else:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

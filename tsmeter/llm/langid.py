@@ -7,8 +7,8 @@ each language, corrected for that slice's false-positive rate, and the largest
 corrected share decides.
 
 Scale: languages are learned from at most ``per_language`` rows each (a parameter);
-trigrams are counted inside tasks and summed by Spark; the filter has at most 2**22
-slots.  Prediction is one narrow pass over whole texts.
+trigrams are counted inside tasks and summed by Spark; the filter has at least twelve
+slots for each trigram learned, so its false-positive rate does not grow.  Prediction is one narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .common import id_and_text, id_fold
 
 PER_LANGUAGE = 5_000  # training rows of a language, about
-MAX_GRAMS = 100_000  # trigrams of a language, the most frequent
 HASHES = 3
 BLOCK = 1 << 20  # code points handled at once
 
@@ -70,7 +69,7 @@ class Filters:
         self.languages = languages
         planes = (len(languages) + 63) // 64
         distinct = len(np.unique(codes))
-        size = 1 << int(np.clip(int(np.ceil(np.log2(max(distinct, 1) * 12))), 10, 22))
+        size = 1 << max(10, int(np.ceil(np.log2(max(distinct, 1) * 12))))
         self.masks = np.zeros((max(planes, 1), size), np.uint64)
         for slot in slots_of(codes, size):
             for plane in range(planes):
@@ -98,18 +97,16 @@ class Filters:
         return self.languages[best], float(share[best] / share.sum()) if share.sum() > 0 else 0.0
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MAX_GRAMS) -> Filters:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from rows with a language outside the held-out fold."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang")).filter(id_fold(4) != 2).filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     # the share of a language's rows whose id hash falls below per_language / rows
     part = sizes.select("lang", (F.lit(float(per_language)) / F.col("rows")).alias("share"))
-    shares = {r["lang"]: r["share"] for r in part.collect()}
-    if not shares:
+    languages = sorted(r["lang"] for r in part.select("lang").collect())  # the labels that can be predicted
+    if not languages:
         return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    languages = sorted(shares)
-    share = F.element_at(F.create_map(*(x for lang in languages for x in (F.lit(lang), F.lit(float(shares[lang]))))), F.col("lang"))
-    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
+    chosen = rows.join(part, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +126,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_grams: int = MA
     tops = rates.groupBy("code").agg(F.max("rate").alias("top"))
     # a language holds a trigram that is at least half as frequent there as anywhere
     held = rates.join(tops, "code").filter("n >= 2 and rate >= 0.5 * top").select("lang", "code", "n")
-    from pyspark.sql import Window
-
-    ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("rank") <= max_grams)
-    got = ranked.select("lang", "code").toPandas()  # at most max_grams rows of each language
+    got = held.select("lang", "code").toPandas()  # trigrams of per_language rows of each language
     where = {lang: i for i, lang in enumerate(languages)}
     return Filters(languages, got["code"].to_numpy(np.int64).astype(np.uint64), got["lang"].map(where).to_numpy(np.int64) if len(got) else np.zeros(0, np.int64))
 
@@ -144,7 +138,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     when there is no training row.  Repeated rows are judged each; an empty table
     gives an empty result; other columns are ignored.
     """
-    filters = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))  # at most 2**22 slots
+    filters = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))  # twelve to 24 slots for each trigram learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

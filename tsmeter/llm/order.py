@@ -14,6 +14,8 @@ its own attempt and renames it, so tasks may be run again.
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -31,6 +33,7 @@ from .tokens import SPECIAL, byte_bpe
 LENGTH = 1024  # ids of a sequence; two bytes each
 SHARD = 8192  # sequences of a shard
 ROUNDS = 4
+MANIFEST = "manifest.json"
 END = SPECIAL["<|endoftext|>"]
 
 
@@ -80,8 +83,8 @@ def _sequences(batches: Iterator[pa.RecordBatch], length: int, encode: Callable[
 
 
 def materialise(docs: DataFrame, path: str | None = None, key: int = 20_24, length: int = LENGTH, shard: int = SHARD, encoder: Callable[[], Callable[[str], np.ndarray]] = byte_bpe) -> DataFrame:
-    """Writes the shards under ``path`` (default: the shared folder) when it is run, and
-    returns a row for each sequence: slot, sequence, shard, byte_offset, n_tokens,
+    """Writes a manifest and, when it is run, the shards under ``path`` (default: the shared
+    folder), and returns a row for each sequence: slot, sequence, shard, byte_offset, n_tokens,
     ids_crc32, doc_ids.
 
     Every id of every text, and an end after each, lies in exactly one sequence; only the
@@ -107,6 +110,11 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 20_24, leng
         offsets[part] = (n, k)
         n += k
 
+    fs, root = pyarrow.fs.FileSystem.from_uri(target)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{MANIFEST}") as f:
+        f.write(json.dumps({"sequences": n, "length": length, "shard": shard, "key": key, "dtype": "<u2", "end": END}).encode())
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, expected = offsets[TaskContext.get().partitionId()]
         made = 0
@@ -138,10 +146,15 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 20_24, leng
         fs, root = pyarrow.fs.FileSystem.from_uri(target)
         fs.create_dir(root, recursive=True)
         name, own = f"{root}/shard-{number:08d}.bin", f"{root}/.{uuid.uuid4().hex}"
-        with fs.open_output_stream(own) as f:
-            for x in data:
-                f.write(x)
-        fs.move(own, name)
+        try:
+            with fs.open_output_stream(own) as f:
+                for x in data:
+                    f.write(x)
+            fs.move(own, name)
+        except BaseException:
+            with contextlib.suppress(OSError):
+                fs.delete_file(own)
+            raise
         return pa.table({"slot": slots, "sequence": group.column("sequence"), "shard": pa.array([number] * len(slots), pa.int64()), "byte_offset": (slots - number * shard) * 2 * length, "n_tokens": group.column("n_tokens"), "ids_crc32": pa.array([zlib.crc32(x) for x in data], pa.int64()), "doc_ids": group.column("doc_ids")})
 
     placed = rows.mapInArrow(place, "slot long, sequence long, ids binary, n_tokens long, doc_ids array<long>")
@@ -150,13 +163,24 @@ def materialise(docs: DataFrame, path: str | None = None, key: int = 20_24, leng
     return out
 
 
-def read(path: str, start: int, stop: int, length: int = LENGTH, shard: int = SHARD) -> Iterator[np.ndarray]:
-    """The sequences of slots ``start`` to ``stop``, shard after shard."""
+def manifest(path: str) -> dict:
+    """sequences, length, shard, key, dtype and end of a folder of shards."""
+    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_input_file(f"{root}/{MANIFEST}") as f:
+        return json.loads(f.read())
+
+
+def read(path: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
+    """The sequences of slots ``start`` to ``stop`` (default: all), shard after shard; the
+    folder itself says how they lie, so a reader resumes from any slot."""
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    how = manifest(path)
+    stride = np.dtype(how["dtype"]).itemsize * how["length"]
+    stop = how["sequences"] if stop is None else stop
     while start < stop:
-        number, at = divmod(start, shard)
-        n = min(stop - start, shard - at)
+        number, at = divmod(start, how["shard"])
+        k = min(stop - start, how["shard"] - at)
         with fs.open_input_file(f"{root}/shard-{number:08d}.bin") as f:
-            f.seek(at * 2 * length)
-            yield from np.frombuffer(f.read(n * 2 * length), "<u2").reshape(n, length)
-        start += n
+            f.seek(at * stride)
+            yield from np.frombuffer(f.read(k * stride), how["dtype"]).reshape(k, how["length"])
+        start += k

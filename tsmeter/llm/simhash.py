@@ -220,9 +220,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf_size:
 
     component_id is the smallest doc_id that links of at most ``budget`` bits reach.
     Null and empty texts and texts without words have fingerprint 0 and are linked like
-    any other; a text with fewer words than a shingle is one shingle.  Rows with
-    the same doc_id are one node; a null doc_id joins no component of others, unless
-    its fingerprint is shared.  An empty table gives an empty result; other columns
+    any other; a text with fewer words than a shingle is one shingle.  The nodes are
+    fingerprints, so rows that repeat a doc_id with other fingerprints are not linked by
+    that; a null doc_id joins no component of others, unless its fingerprint is shared.
+    An empty table gives an empty result; other columns
     are ignored.
     """
     marked = shared_table(fingerprints(docs, words), "simhash-fingerprints")
