@@ -388,6 +388,32 @@ def test_packing(odd, tokenizer, options):
     assert padded <= 0.01 * out["length"].sum() or length == 100
 
 
+def test_packing_of_instruction_data(spark, tokenizer):
+    """Prompts bear no loss: all three limits bind, and repeated ids keep their rows apart."""
+    rng = np.random.default_rng(6)
+    made = []
+    for i in range(400):
+        words = [f"word{x}" for x in rng.integers(0, 999, int(rng.integers(1, 260)))]
+        text = " ".join(words)
+        made.append((i // 2, text, [None, 0, len(text) // 2, len(text)][i % 4]))
+    docs = spark.createDataFrame(made, "doc_id long, text string, chars int")
+    out = packing.pack(docs, length=512, segments=6, loss=200, prompt_chars="chars").toPandas()
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    want = Counter((d, tuple([*ids(t), 1]), len(ids(t[: c or 0]))) for d, t, c in made)
+    reached = np.zeros(3, bool)
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g["length"].sum() <= 512 and len(g) <= 6 and g["loss_tokens"].sum() <= 200
+        assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1].tolist()]
+        reached |= [g["length"].sum() == 512, len(g) == 6, g["loss_tokens"].sum() == 200]
+    assert reached.all()
+    tokens_placed = Counter()
+    for r in out.itertuples():
+        tokens_placed[r.doc_id] += r.length
+        options = [(x, p) for (d, x, p) in want if d == r.doc_id and len(x) == r.doc_tokens and np.array(x[r.start : r.start + r.length], "<u4").tobytes() == r.ids]
+        assert any(r.loss_tokens == r.length - max(1, min(r.length, p - r.start)) for _, p in options)
+    assert tokens_placed == Counter({d: sum(len(x) * n for (e, x, _), n in want.items() if e == d) for d, _, _ in made})
+
+
 # -- near and exact copies --------------------------------------------------------------------------
 
 
