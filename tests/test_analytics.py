@@ -141,3 +141,16 @@ def test_submissions(spark):
     df = spark.createDataFrame([("m", "t1", 1.0), ("m", "t1", 1.0), ("m", "t2", None), ("n", "zzz", 1.0)], "model_name string, task_name string, MASE double")
     got = {(r.model_name, r.problem): r.n for r in analytics.submission_problems(df, ["t1", "t2"], ["MASE", "commit"], ["MASE"]).collect()}
     assert got == {("*", "missing column commit"): 1, ("m", "duplicate tasks"): 1, ("m", "undefined metrics"): 1, ("n", "unknown tasks"): 1}
+
+
+def test_paths_lists_and_any_statistic(spark, tmp_path):
+    rows = [{"dataset_config": t, "model_name": m, "test_error": e, "engine_version": "1.0.0", "training_time_s": 0.0, "inference_time_s": 1.0} for t, values in EXAMPLE.items() for m, e in zip(("seasonal_naive", "ets", "theta"), values)]
+    (tmp_path / "all.json").write_text(__import__("json").dumps(rows))
+    with pytest.warns(UserWarning, match="missing"):
+        by_path = analytics.leaderboard(str(tmp_path / "all.json"), missing_strategy="impute").collect()
+        by_list = analytics.leaderboard(rows, missing_strategy="impute").collect()
+    assert [r.model_name for r in by_path] == [r.model_name for r in by_list] and len(by_path) == 3
+    values = spark.createDataFrame([(m, i, float(i * (m == "a") + 1)) for m in "ab" for i in range(8)], "model_name string, task_ord int, score double")
+    got = {r.model_name: (r.lower, r.upper) for r in analytics.bootstrap(values, ["model_name"], "score", lambda x: np.median(x, axis=1), 200, 5, 0.1).collect()}
+    drawn = np.arange(1.0, 9.0)[np.random.default_rng(5).integers(0, 8, size=(200, 8))]
+    assert got["b"] == (1.0, 1.0) and got["a"] == pytest.approx(tuple(np.quantile(np.median(drawn, axis=1), [0.05, 0.95])))

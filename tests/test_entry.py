@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 duckdb = pytest.importorskip("duckdb")
 #: One query of each family; the whole set is compared by the driver.
-SOME = ["long_to_nested", "cutoff_timestamp", "length_filter", "seasonal_naive", "ffill", "mase", "wql", "metrics_with_nulls", "multi_target_mean", "leaderboard", "pairwise_win_skill", "invalid_predictions", "past_plus_future", "streaming_scores"]
+SOME = ["long_to_nested", "cutoff_timestamp", "length_filter", "seasonal_naive", "ffill", "mase", "wql", "metrics_with_nulls", "multi_target_mean", "leaderboard", "pairwise_win_skill", "invalid_predictions", "past_plus_future", "streaming_scores", "prediction_mismatch", "flat_forecasts", "cutoff_times", "loaded_summaries", "filtered_results", "bootstrap_interval"]
 
 
 def compare(frame, oracle):

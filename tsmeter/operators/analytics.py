@@ -9,10 +9,11 @@ of what is asked for.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, gmean, known, strict_avg
@@ -32,6 +33,15 @@ def task_key(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+def as_frame(summaries) -> DataFrame:
+    """A DataFrame of summaries: itself, or what files, dicts or lists of them hold."""
+    if isinstance(summaries, DataFrame):
+        return summaries
+    from ..sources.summaries import load
+
+    return load(SparkSession.active(), summaries)
+
+
 def filter_models(summaries: DataFrame, included: Sequence[str] | None = None, excluded: Sequence[str] | None = None) -> DataFrame:
     if included is not None and excluded is not None:
         raise ValueError("Give included_models or excluded_models, not both")
@@ -205,6 +215,26 @@ def intervals(values: DataFrame, by: Sequence[str], value: str, weights: DataFra
     return ordered.select(*by, quantile(alpha / 2).alias("lower"), quantile(1 - alpha / 2).alias("upper"))
 
 
+def bootstrap(values: DataFrame, by: Sequence[str], value: str, statistic: Callable[[np.ndarray], np.ndarray], n_resamples: int = 1000, seed: int = 123, alpha: float = 0.05) -> DataFrame:
+    """``by``, lower, upper for any statistic: a function from resampled values (resamples x
+    tasks) to one number for each resample.
+
+    ``values``: a row for each task_ord of each ``by``.  All of ``by`` share the draws.
+    """
+    per = values.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("task_ord", F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("v"))  # as long as there are tasks
+
+    @F.pandas_udf("struct<lower: double, upper: double>")
+    def bounds(v: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in v:
+            x = np.asarray(x, float)
+            drawn = x[np.random.default_rng(seed).integers(0, len(x), size=(n_resamples, len(x)))]
+            out.append(np.quantile(np.asarray(statistic(drawn), float), [alpha / 2, 1 - alpha / 2]))
+        return pd.DataFrame(out, columns=["lower", "upper"])
+
+    return per.select(*by, bounds("v").alias("_b")).select(*by, "_b.lower", "_b.upper")
+
+
 def number_tasks(scores: DataFrame, summaries: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds task_ord: the task's position in the order of its key columns, nulls first."""
     tasks = scores.select("task").distinct().join(summaries.select(*columns, task_key(columns).alias("task")).distinct(), "task")
@@ -256,7 +286,7 @@ def _raise_failures(scores: DataFrame) -> None:
 
 
 def leaderboard(
-    summaries: DataFrame,
+    summaries: DataFrame | str | list,
     metric: str = "test_error",
     baseline_model: str = "seasonal_naive",
     missing_strategy: str = "error",
@@ -276,7 +306,7 @@ def leaderboard(
     The checks run small jobs; the table itself is lazy.  Order of steps: relative
     errors, leakage, clipping, failures counted, missing results.
     """
-    summaries = filter_models(summaries, included_models, excluded_models)
+    summaries = filter_models(as_frame(summaries), included_models, excluded_models)
     check_versions(summaries)
     check_duplicates(summaries, columns)
     models = models_of(summaries)
@@ -311,7 +341,7 @@ def leaderboard(
 
 
 def pairwise_comparison(
-    summaries: DataFrame,
+    summaries: DataFrame | str | list,
     metric: str = "test_error",
     baseline_model: str | None = None,
     missing_strategy: str = "error",
@@ -330,7 +360,7 @@ def pairwise_comparison(
     Failures are counted before leakage is imputed, so 'error' may speak of results that
     imputation would have filled.
     """
-    summaries = filter_models(summaries, included_models, excluded_models)
+    summaries = filter_models(as_frame(summaries), included_models, excluded_models)
     check_versions(summaries)
     check_duplicates(summaries, columns)
     models = models_of(summaries)

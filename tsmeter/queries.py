@@ -614,6 +614,82 @@ def sample_quantiles(spark, sf_dir):
     return out.select("k", *(r(F.get("quantiles", F.lit(i)), 5).alias(n) for i, n in enumerate(("q10", "q50", "q90"))))
 
 
+@query(f"{EVAL} SELECT CAST(window_idx AS INT) AS window_idx, id, 'target' AS target_name, 'missing' AS side FROM hist WHERE id = 'click' UNION ALL SELECT CAST(window_idx AS INT), id, 'target', 'repeated' FROM hist WHERE id = 'view' UNION ALL SELECT DISTINCT CAST(window_idx AS INT), 'zz', 'target', 'surplus' FROM hist")
+def prediction_mismatch(spark, sf_dir):
+    w = daily_windows(spark, sf_dir)
+    f = baselines.forecast(w, "naive", ["target"], H, S).select("window_idx", "id", "target_name")
+    wrong = f.filter("id <> 'click'").unionByName(f.filter("id = 'view'")).unionByName(f.select("window_idx", F.lit("zz").alias("id"), "target_name").distinct())
+    return predictions.unmatched(w, wrong, ["target"]).select(F.col("window_idx").cast("int").alias("window_idx"), "id", "target_name", "side")
+
+
+@query("SELECT n_nationkey // 5 // 2 AS item_ord, CASE n_nationkey // 5 % 2 WHEN 0 THEN 'a' ELSE 'b' END AS target_name, CAST(n_nationkey % 5 AS BIGINT) AS step, CAST(n_regionkey AS BIGINT) AS value FROM nation")
+def flat_forecasts(spark, sf_dir):
+    flat = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_regionkey").cast("long").alias("predictions"))
+    out = reshape.flat_to_nested(flat, 5, ["a", "b"])
+    return out.select("item_ord", "target_name", F.posexplode("predictions").alias("step", "value")).withColumn("step", F.col("step").cast("long"))
+
+
+@query(f"WITH {DAILY} SELECT CAST(count(*) > 0 AS BOOLEAN) AS long_is_long, CAST(count(*) < 0 AS BOOLEAN) AS nested_is_long FROM daily")
+def long_or_nested(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    flags = (reshape.is_long(d, "id", "timestamp"), reshape.is_long(nested(d), "id", "timestamp"))
+    return spark.createDataFrame([flags], "long_is_long boolean, nested_is_long boolean")
+
+
+TIMES = ("1997-01-31", "2MS", 4)
+
+
+@query("SELECT CAST(i AS BIGINT) AS window_idx, CASE i WHEN 0 THEN '1997-01-31' ELSE strftime(TIMESTAMP '1997-01-01' + i * INTERVAL 2 MONTH, '%Y-%m-%d') END AS cutoff FROM range(4) t(i)")
+def cutoff_times(spark, sf_dir):
+    """Offsets from a timestamp: the first cutoff as it is, then whole steps from it."""
+    found = frequency.cutoff_times(TIMES[0], TIMES[1], TIMES[2])
+    return spark.createDataFrame([(i, t.strftime("%Y-%m-%d")) for i, t in enumerate(found)], "window_idx long, cutoff string")
+
+
+@query(f"{SUMMARIES} SELECT model AS model_name, CAST(count(*) AS BIGINT) AS n, round(sum(score), 5) AS total FROM res WHERE model <> 'drift' AND {CUTCASE} = '{CUTS[1]}' GROUP BY 1")
+def filtered_results(spark, sf_dir):
+    s = model_scores(spark, sf_dir).withColumn("task_name", F.concat_ws("|", "dataset_config", "initial_cutoff"))
+    names = [row[0] for row in s.filter(F.col("initial_cutoff") == str(CUTS[1])).select("task_name").distinct().collect()]  # the tasks of a suite
+    kept = analytics.filter_tasks(analytics.filter_models(s, excluded=["drift"]), names)
+    return kept.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), r(F.sum("test_error"), 5).alias("total"))
+
+
+@query("SELECT c_mktsegment AS model_name, 'balance' AS target, '[0.1, 0.0001, 1.0]' AS quantile_levels, CAST(8 AS BIGINT) AS horizon, '1.0.0' AS engine_version, CAST(NULL AS VARCHAR) AS initial_cutoff, round(sum(c_acctbal), 2) AS test_error FROM customer GROUP BY 1")
+def loaded_summaries(spark, sf_dir):
+    """Former names, text in place of numbers, levels in one form, missing columns as null."""
+    import warnings
+
+    from .sources import summaries
+
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("model_name")).agg(F.sum("c_acctbal").cast("string").alias("test_error"))
+    raw = c.withColumns({"target_column": F.lit("balance"), "quantile_levels": F.lit("[0.1, 0.00010000001, 1.0]"), "horizon": F.lit("8"), "tool_version": F.lit("1.0.0")})
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of the columns that are filled
+        out = summaries.load(spark, raw)
+    return out.select("model_name", "target", "quantile_levels", "horizon", "engine_version", "initial_cutoff", r("test_error", 2).alias("test_error"))
+
+
+@query("SELECT r_name AS name, 'v1' AS suite FROM region")
+def constant_column(spark, sf_dir):
+    from .sources import summaries
+
+    return summaries.add_constant(table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("suite")), "suite", "v1")
+
+
+DRAWS = 100
+_counts = analytics.resamples(10, DRAWS, 123)
+INDEX = f"draws(d, w) AS (VALUES {', '.join(f'({i}, {list(x)})' for i, x in enumerate(_counts))})"
+
+
+@query(f"{SUMMARIES}, {REL}, {FILLED}, {INDEX}, placed AS (SELECT model, e, row_number() OVER (PARTITION BY model ORDER BY id, {CUTCASE}) AS k FROM filled), stats AS (SELECT model, d, sum(w[k] * e) / sum(w[k]) AS m FROM placed, draws GROUP BY 1, 2) SELECT model AS model_name, round(quantile_cont(m, 0.05), 5) AS lower, round(quantile_cont(m, 0.95), 5) AS upper FROM stats GROUP BY 1")
+def bootstrap_interval(spark, sf_dir):
+    s = model_scores(spark, sf_dir)
+    placed = analytics.number_tasks(filled(spark, sf_dir), s, analytics.TASK_COLUMNS)
+    weights = spark.createDataFrame([(_counts,)], "w array<array<int>>")
+    out = analytics.intervals(placed, ["model_name"], "score", weights, 0.1, False)
+    return out.select("model_name", r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
+
+
 # -- adapters -----------------------------------------------------------------------------------------------------
 
 

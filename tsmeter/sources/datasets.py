@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import copy
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -79,11 +77,9 @@ def load_file(spark: SparkSession, path: str, options: dict | None = None) -> Da
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix not in ("parquet", "arrow"):
         raise ValueError(f"Files must end in .parquet or .arrow, got {path!r}")
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for k, v in copy.deepcopy(options or {}).items():
-        hadoop.set(k.removeprefix("spark.hadoop."), str(v))
     if suffix == "parquet":
-        return spark.read.parquet(path)
+        # options of one read reach its file system, and no other read's
+        return spark.read.options(**{k.removeprefix("spark.hadoop."): str(v) for k, v in (options or {}).items()}).parquet(path)
     spark.dataSource.register(ArrowFiles)
     return spark.read.format("arrow_file").load(path if "://" in path or path.startswith("/") else f"{__import__('os').path.abspath(path)}")
 
