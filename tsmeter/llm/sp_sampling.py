@@ -35,7 +35,11 @@ from .common import id_and_text
 
 SAMPLES, SEED = 3, 11
 SPACE = "▁"
-BATCH_CHARS = 200_000  # characters of the texts that are walked together, about
+BATCH_CHARS = 1_000_000  # characters of the texts that are walked together, about
+HASH_BITS = 19
+FIRST = 128  # steps of a path whose regions are opened at first
+#: Stands for a U+2581 of the text itself while spaces are written so: no text holds it.
+OWN_SPACE = "\ud800"
 
 #: -ln of a uniform number lies between exp(-REACH) and REACH, so that a region's value
 #: lies between mu - ln(exp(mu - top) + REACH) and mu + REACH.
@@ -73,6 +77,9 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and SPACE not in piece.lstrip(SPACE):
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
                 normal.append((i, piece))
+        self.byte_sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.flat_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
         total = math.log(sum(1 / (rank + 10) for rank in range(len(normal))))
         self.byte_weight = -math.log(len(normal) + 10) - total
         nodes: dict[str, int] = {"": 0}
@@ -82,6 +89,11 @@ class Pieces:
         #: The trie: node << 21 | character of each step, in order, and the node it leads to.
         steps = sorted(((nodes[x[:-1]] << 21) | ord(x[-1]), nodes[x]) for x in nodes if x)
         self.step, self.child = (np.array(c, np.int64) for c in zip(*steps))
+        #: The steps once more by a hash; where several share a slot, the sorted ones decide.
+        slot = self._slot(self.step)
+        self.slot_step, self.slot_child = np.full(1 << HASH_BITS, -1, np.int64), np.full(1 << HASH_BITS, -1, np.int64)
+        self.slot_step[slot], self.slot_child[slot] = self.step, self.child
+        self.shared = np.bincount(slot, minlength=1 << HASH_BITS) > 1
         self.piece, self.weight = np.full(len(nodes), -1, np.int64), np.zeros(len(nodes))
         for rank, (i, piece) in enumerate(normal):  # a piece weighs its rank's share under Zipf's law
             self.piece[nodes[piece]], self.weight[nodes[piece]] = i, -math.log(rank + 10) - total
@@ -90,6 +102,25 @@ class Pieces:
             if len(x) == 1:
                 self.from_root[ord(x)], self.known[ord(x)] = node, self.piece[node] >= 0
 
+    @staticmethod
+    def _slot(step: np.ndarray) -> np.ndarray:
+        return ((step.astype(np.uint64) * _u(0x9E3779B97F4A7C15)) >> _u(64 - HASH_BITS)).astype(np.int64)
+
+    def follow(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes that characters lead to; -1 where there is none."""
+        step = (node << 21) | char
+        slot = self._slot(step)
+        out = np.where(self.slot_step[slot] == step, self.slot_child[slot], -1)
+        open_ = np.flatnonzero((out < 0) & self.shared[slot])
+        k = np.minimum(np.searchsorted(self.step, step[open_]), len(self.step) - 1)
+        out[open_] = np.where(self.step[k] == step[open_], self.child[k], -1)
+        return out
+
+    def text_bytes(self, ids: np.ndarray) -> bytes:
+        """What ``decode`` gives, as bytes."""
+        n = self.byte_sizes[ids]
+        return self.flat_bytes[np.repeat(self.byte_starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()[1:]
+
     def decode(self, ids) -> str:
         """The text of ids; its first space is the one that encoding put there."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -122,9 +153,7 @@ class Walk:
             if not source:
                 node = pieces.from_root[char[at]].astype(np.int64)
             else:
-                key = (node << 21) | char[at]
-                k = np.minimum(np.searchsorted(pieces.step, key), len(pieces.step) - 1)
-                node = np.where((pieces.step[k] == key) & inner[at], pieces.child[k], -1)
+                node = pieces.follow(node, char[at])
             going = node >= 0
             at, node, origin = at[going] + 1, node[going], origin[going]
             ends = pieces.piece[node] >= 0
@@ -133,13 +162,23 @@ class Walk:
             weight.append(pieces.weight[node[ends]])
             piece.append(pieces.piece[node[ends]])
         lone = start[~pieces.known[char[start]]]  # characters that become bytes
-        source, target, piece = (np.concatenate([*x, y]) for x, y in ((source, lone), (target, lone + 1), (piece, -1 - lone)))
-        raw = [chr(c).encode("utf-8", "surrogatepass") for c in char[lone].tolist()]
-        weight = np.concatenate([*weight, [pieces.byte_weight * len(b) for b in raw]])
-        order = np.argsort(source, kind="stable")
-        self.source, self.target, weight, piece = source[order], target[order], weight[order], piece[order]
-        self.degree = np.bincount(self.source, minlength=n_states)
+        raw = [(SPACE if chr(c) == OWN_SPACE else chr(c)).encode("utf-8", "surrogatepass") for c in char[lone].tolist()]
+        for x, own in ((source, lone), (target, lone + 1), (weight, np.array([pieces.byte_weight * len(b) for b in raw], float)), (piece, -1 - lone)):
+            x.insert(0, own)
+        # a state's edges stand together, the longest pieces, which are the likeliest, first: each round of
+        # the walk has one edge of a state at most, so places are counted without a sort
+        self.degree = np.zeros(n_states, np.int64)
+        for x in source:
+            self.degree[x] += 1
         self.edge = np.cumsum(self.degree) - self.degree
+        free = self.edge.copy()
+        n_edges = int(self.degree.sum())
+        self.source, self.target, sorted_weight, sorted_piece = np.zeros(n_edges, np.int64), np.zeros(n_edges, np.int64), np.zeros(n_edges), np.zeros(n_edges, np.int64)
+        for x, y, w, p in zip(reversed(source), reversed(target), reversed(weight), reversed(piece)):
+            to = free[x]
+            self.source[to], self.target[to], sorted_weight[to], sorted_piece[to] = x, y, w, p
+            free[x] += 1
+        weight, piece = sorted_weight, sorted_piece
         behind = np.zeros(n_states)
         left = np.repeat(lengths, lengths + 1) - (np.arange(n_states) - np.repeat(self.first, lengths + 1))  # to the word's end
         most = int(lengths.max(initial=0))
@@ -168,8 +207,15 @@ class Walk:
             self.ids[self.id_at[e] : self.id_at[e] + self.n_ids[e]] = [pieces.byte_ids[b] for b in many[int(piece[e])]]
 
     def pick(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-        edge = np.searchsorted(self.key, state + u)
-        return np.clip(edge, self.edge[state], self.edge[state] + self.degree[state] - 1)
+        """The edge at which the sums of a state's probabilities pass ``u``."""
+        edge = self.edge[state]
+        live = np.flatnonzero((self.degree[state] > 1) & (self.key[edge] < state + u))
+        want, last = (state + u)[live], (edge + self.degree[state] - 1)[live]
+        while len(live):
+            edge[live] += 1
+            more = (self.key[edge[live]] < want) & (edge[live] < last)
+            live, want, last = live[more], want[more], last[more]
+        return edge
 
     def run(self, state: np.ndarray, seed: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random paths from states to their words' ends: (which, edge) in path order.
@@ -211,23 +257,27 @@ def _rest(logp: np.ndarray) -> np.ndarray:
 
 
 class Path:
-    """A path emitted, and the regions that branch off it."""
+    """A path emitted, and the regions that branch off it at ``first`` and later steps."""
 
-    __slots__ = ("edges", "words", "before", "region", "taken", "value")
+    __slots__ = ("edges", "words", "first", "before", "region", "taken", "value")
 
-    def __init__(self, edges, words, before, region, value):
-        self.edges, self.words, self.before, self.region, self.value = edges, words, before, region, value
+    def __init__(self, edges, words, first, before, region, value):
+        self.edges, self.words, self.first, self.before, self.region, self.value = edges, words, first, before, region, value
         self.taken: dict[int, list[int]] = {}  # at a step: the edges that paths took besides this one's
 
 
 def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """For each text: up to k (ids, log-probability, perturbed value), best first, and
     the best perturbed value that was left."""
-    units = [_units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    units = [_units.findall(SPACE + t.replace(SPACE, OWN_SPACE).replace(" ", SPACE)) if t else [] for t in texts]
+    sizes = np.array([len(u) for u in units], np.int64)
     index: dict[str, int] = {}
-    occurrence = np.fromiter((index.setdefault(w, len(index)) for u in units for w in u), np.int64)
+    for u in units:
+        index.update(dict.fromkeys(u, 0))
+    for i, w in enumerate(index):
+        index[w] = i
+    occurrence = np.fromiter((i for u in units for i in map(index.__getitem__, u)), np.int64, int(sizes.sum()))
     walk = Walk(list(index), pieces)
-    sizes = np.array([len(u) for u in units], np.int64)
     begin = np.cumsum(sizes) - sizes
     start = walk.first[occurrence] if len(occurrence) else occurrence
     root = -np.log(-np.log(uniforms(seeds, np.zeros(len(texts), np.int64), 2)))
@@ -256,58 +306,84 @@ def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces) ->
         place[which] = np.arange(len(which))
         per = np.bincount(place[of_doc], minlength=len(which))
         ends = np.cumsum(per)
-        for i, (d, head, top) in enumerate(zip(which, heads, tops)):
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, head in enumerate(heads):
             own = slice(ends[i] - per[i], ends[i])
             e, w = edges[own], of_word[own]
             if head is not None:
                 path, step, edge = head
                 e = np.concatenate((path.edges[:step], [edge], e))
                 w = np.concatenate((path.words[: step + 1], w))
-            taken = 0 if head is None else head[1] + 1  # regions of the steps before belong to the path it left
-            n = taken + 128
-            while True:  # regions beyond n can't be among the best: see REACH
-                logs = walk.logp[e[:n]]
-                before = np.cumsum(logs) - logs
-                mu = before + _rest(logs)
-                mu[walk.degree[walk.source[e[:n]]] == 1] = -np.inf
-                mu[:taken] = -np.inf
-                with np.errstate(over="ignore"):
-                    sure = np.sort(mu - np.log(np.exp(np.minimum(mu - top, 700.0)) + REACH))
-                if n >= len(e) or (len(sure) > k and before[-1] + REACH < sure[-1 - k]):
-                    break
-                n *= 4
-            region = truncated(mu, top, uniforms(np.full(len(mu), seeds[d]), np.arange(len(mu)), 16 + number))
-            paths[d].append(Path(e, w, before, region, float(top)))
-
-    extend(list(range(len(texts))), [None] * len(texts), root, 0)
+            made.append((e, w))
+        # regions of the steps before ``first`` belong to the path it left
+        first = np.array([0 if head is None else head[1] + 1 for head in heads], np.int64)
+        so_far = np.array([0.0 if head is None else head[0].before[head[1] - head[0].first] + walk.logp[head[2]] for head in heads])
+        long = np.array([len(e) for e, _ in made], np.int64)
+        todo, n = np.arange(len(made)), FIRST
+        while len(todo):  # all texts together; regions beyond n can't be among the best: see REACH
+            n_of = np.maximum(np.minimum(long[todo] - first[todo], n), 0)
+            wide = max(int(n_of.max(initial=0)), 1)
+            some = np.arange(wide)[None, :] < n_of[:, None]
+            e = np.zeros(some.shape, np.int64)
+            e[some] = np.concatenate([made[i][0][first[i] : first[i] + m] for i, m in zip(todo, n_of)])
+            logs = np.where(some, walk.logp[e] if len(walk.logp) else 0.0, 0.0)
+            before = so_far[todo][:, None] + np.cumsum(logs, axis=1) - logs
+            mu = np.where(some & (walk.degree[walk.source[e]] > 1), before + _rest(logs), -np.inf) if len(walk.logp) else np.full(some.shape, -np.inf)
+            top = tops[todo][:, None]
+            with np.errstate(over="ignore"):
+                sure = mu - np.log(np.exp(np.minimum(mu - top, 700.0)) + REACH)
+            kth = np.partition(sure, -1 - k, axis=1)[:, -1 - k] if wide > k else np.full(len(todo), -np.inf)
+            done = (first[todo] + n_of >= long[todo]) | (before[:, -1] + REACH < kth)
+            steps = first[todo][:, None] + np.arange(wide)[None, :]
+            region = truncated(mu, top, uniforms(np.broadcast_to(seeds[which][todo][:, None], mu.shape), steps, 16 + number))
+            for row in np.flatnonzero(done):
+                i, m = todo[row], n_of[row]
+                paths[which[i]].append(Path(*made[i], int(first[i]), before[row, :m], region[row, :m], float(tops[i])))
+            todo, n = todo[~done], n * 4
+
+    which = np.arange(len(texts))
+    extend(which, [None] * len(texts), root, 0)
     for number in range(1, k + 1):
-        which, heads, tops = [], [], []
+        which, heads, tops, steps = [], [], [], []
         for d in range(len(texts)):
             if len(paths[d]) < number:
                 continue
-            best = max(((float(p.region.max()), i) for i, p in enumerate(paths[d]) if len(p.region)), default=(-np.inf, 0))
-            left[d] = best[0]
-            if number == k or best[0] == -np.inf:
+            best, i = max(((float(p.region.max()), i) for i, p in enumerate(paths[d]) if len(p.region)), default=(-np.inf, 0))
+            left[d] = best
+            if number == k or best == -np.inf:
                 continue
-            path = paths[d][best[1]]
-            step = int(np.argmax(path.region))
+            path = paths[d][i]
+            which.append(d)
+            heads.append(path)
+            tops.append(best)
+            steps.append(int(np.argmax(path.region)))
+        if not which:
+            continue
+        which, tops, at = np.array(which), np.array(tops), np.array(steps)
+        absolute = at + np.array([p.first for p in heads])
+        choice = uniforms(seeds[which], absolute, 1000 + number)
+        again = uniforms(seeds[which], absolute, 2000 + number)
+        mus, branches = np.full(len(which), -np.inf), []
+        for i, (path, step) in enumerate(zip(heads, absolute.tolist())):
             state = int(walk.source[path.edges[step]])
-            options = np.arange(walk.edge[state], walk.edge[state] + walk.degree[state])
+            low, n = int(walk.edge[state]), int(walk.degree[state])
+            p = np.exp(walk.logp[low : low + n])
             gone = [int(path.edges[step]), *path.taken.get(step, [])]
-            p = np.where(np.isin(options, gone), 0.0, np.exp(walk.logp[options]))
-            u = uniforms(seeds[[d]], np.array([step]), 1000 + number)[0]
-            edge = int(options[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(p) - 1)])
+            for edge in gone:
+                p[edge - low] = 0.0
+            sums = np.cumsum(p)
+            edge = low + min(int(np.searchsorted(sums, choice[i] * sums[-1], side="right")), n - 1)
             if edge in gone:
-                edge = int(options[np.argmax(p)])
+                edge = low + int(np.argmax(p))
             path.taken.setdefault(step, []).append(edge)
-            rest = float(p.sum() - np.exp(walk.logp[edge])) if len(gone) + 1 < len(options) else 0.0
-            mu = path.before[step] + math.log(rest) if rest > 1e-300 else -np.inf
-            path.region[step] = truncated(np.array([mu]), best[0], uniforms(seeds[[d]], np.array([step]), 2000 + number))[0]
-            which.append(d)
-            heads.append((path, step, edge))
-            tops.append(best[0])
-        if which:
-            extend(which, heads, np.array(tops), number)
+            rest = float(sums[-1] - p[edge - low]) if len(gone) + 1 < n else 0.0
+            if rest > 1e-300:
+                mus[i] = path.before[at[i]] + math.log(rest)
+            branches.append((path, step, edge))
+        values = truncated(mus, tops, again)
+        for path, step, value in zip(heads, at, values):
+            path.region[step] = value
+        extend(which, branches, tops, number)
     return [([(walk.path_ids(p.edges), float(walk.logp[p.edges].sum()), p.value) for p in paths[d]], float(left[d])) for d in range(len(texts))]
 
 
@@ -333,9 +409,10 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: s
     def work(ids: list, texts: list[str], pieces: Pieces) -> pa.RecordBatch:
         out = []
         for doc_id, text, (found, left) in zip(ids, texts, sample_batch(texts, row_seeds(ids, seed), k, pieces)):
+            raw = text.encode("utf-8", "surrogatepass")
             for number, (got, logp, value) in enumerate(found, 1):
                 inclusion = 0.0 if left == -np.inf else logp - left if logp - left < -30 else math.log(-math.expm1(-math.exp(min(logp - left, 700.0))))
-                out.append((doc_id, number, len(got), zlib.crc32(got.astype("<i4").tobytes()), logp, value, inclusion, pieces.decode(got.tolist()) == text, got)[: len(schema)])
+                out.append((doc_id, number, len(got), zlib.crc32(got.astype("<i4").tobytes()), logp, value, inclusion, pieces.text_bytes(got) == raw, got)[: len(schema)])
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
