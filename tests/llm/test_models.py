@@ -91,6 +91,15 @@ def test_encoding_round_trip(odd):
         assert r.text == texts[r.doc_id]
 
 
+def test_texts_that_hold_the_space_mark_come_back(spark):
+    texts = {1: "a \u2581 b\u2581c", 2: "\u2581", 3: "\u2581\u2581 x  y ", 4: None, 5: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    encoded = sp_sampling.encode_samples(docs, with_ids=True)
+    assert all(r["round_trip"] for r in rows(encoded)) and encoded.select("doc_id").distinct().count() == 5
+    assert all(r.text == (texts[r.doc_id] or "") for r in sp_sampling.decode(encoded).collect())
+    assert sp_sampling.encode_samples(docs.limit(0)).count() == 0
+
+
 def test_samples_do_not_depend_on_partitions(odd):
     key = lambda df: sorted((r["doc_id"], r["sample"], r["ids_crc32"], r["perturbed"]) for r in rows(df))
     assert key(sp_sampling.encode_samples(odd.repartition(7))) == key(sp_sampling.encode_samples(odd.coalesce(1)))
@@ -116,9 +125,10 @@ def test_shards(spark, odd):
     out = order.materialise(odd, path, length=128, shard=50).toPandas().sort_values("slot")
     n = len(out)
     assert out["slot"].tolist() == list(range(n)) and sorted(out["sequence"]) == list(range(n))
-    data = np.stack(list(order.read(path, 0, n, 128, 50)))
+    data = np.stack(list(order.read(path)))
     assert [zlib.crc32(x.tobytes()) for x in data] == out["ids_crc32"].tolist()
-    assert (np.stack(list(order.read(path, 37, 137, 128, 50))) == data[37:137]).all()
+    assert (np.stack(list(order.read(path, 37, 137))) == data[37:137]).all()
+    assert order.manifest(path)["sequences"] == n and order.manifest(path)["length"] == 128
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = Counter(tuple([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, order.END]) for r in odd.select("text").collect())
     flat = np.concatenate([data[s][:k] for s, k in out.sort_values("sequence")[["slot", "n_tokens"]].to_numpy()])
@@ -138,17 +148,18 @@ def test_gradients():
     rng = np.random.default_rng(0)
     w = {n: x.astype(np.float64) for n, x in lm_score.start_weights(rng).items()}
     x, y = rng.integers(0, 40, (2, lm_score.WINDOW)), rng.integers(0, lm_score.CLASSES, (2, lm_score.WINDOW))
-    _, g = lm_score.gradients(w, x, y)
+    _, g, ids = lm_score.gradients(w, x, y)
     for n in w:
         at = tuple(rng.integers(0, s) for s in w[n].shape) if n != "e" else (int(x[0, 3]), 5)
         step = 1e-5
         old = w[n][at]
         w[n][at] = old + step
-        up, _ = lm_score.gradients(w, x, y)
+        up, *_ = lm_score.gradients(w, x, y)
         w[n][at] = old - step
-        down, _ = lm_score.gradients(w, x, y)
+        down, *_ = lm_score.gradients(w, x, y)
         w[n][at] = old
-        assert g[n][at] == pytest.approx((up - down) / (2 * step), rel=2e-3, abs=1e-7), n
+        got = g[n][int(np.searchsorted(ids, at[0])), at[1]] if n == "e" else g[n][at]
+        assert got == pytest.approx((up - down) / (2 * step), rel=2e-3, abs=1e-7), n
 
 
 def test_scorer_scores_each_token_once():
@@ -176,6 +187,21 @@ def test_scorer_scores_each_token_once():
     assert [x.sum() for x in np.split(lm_score.Scorer(w, of, inside).token_logs(texts, block=3), np.cumsum([len(t) for t in texts])[:-1])] == pytest.approx([slow(t) for t in texts], rel=1e-4)
 
 
+def test_words_are_encoded_by_themselves():
+    encode = lm_score._ranks_encoder()
+    for text in ["a bc the thing", "x\xa0y z", "\xa0 a", "a\u3000 \u2003 b", "it's 12,5 \x1c q", "", "\x85"]:
+        words = lm_score.words_of(text)
+        ids, at = lm_score.ids_of(words)
+        want = [encode(" " + w.decode()).tolist() for w in words]
+        assert [x.tolist() for x in np.split(ids, at[1:])][: len(words)] == want if words else len(ids) == 0
+
+
+def test_score_does_not_depend_on_the_broadcast_words(odd):
+    """Each word's share of the corpus counts, whether it is broadcast or joined."""
+    few, all_ = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in rows(lm_score.score(odd.filter("doc_id < 60 or doc_id > 9000"), top_words=k, steps=3))} for k in (5, 1 << 17))
+    assert few.keys() == all_.keys() and all(few[d] == pytest.approx(all_[d], rel=1e-9) for d in few)
+
+
 def test_lm_scores(odd):
     source = odd.select("doc_id", "text").collect()
     tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), None]
