@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lm_score, order, packing, quality, secrets, simhash, sp_sampling, toxicity
+from . import align, compress, exact_dedup, langid, lm_score, order, packing, quality, search, secrets, simhash, sp_sampling, toxicity
 from .common import read_table
 
 
@@ -50,11 +50,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.cross_align(read_table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_sentencepiece_sampling, op6_simhash_dedup, op7_packing, op8_training_order, op9_toxicity, op10_lm_scoring, pipeline)}
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_exact_dedup, op4_quality_rules, op5_sentencepiece_sampling, op6_simhash_dedup, op7_packing, op8_training_order, op9_toxicity, op10_lm_scoring, op11_token_alignment, op12_ranked_search, op13_quality_classifier, pipeline)}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op12_ranked_search": search.ORACLE_SQL}
