@@ -32,10 +32,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_table
+from .common import id_and_text, parts, shared_table
 
 #: Bytes of text that are aligned together (a longer text is a part of its own).
-PART = 8 << 20
+PART = 2 << 20
 #: Linked pairs that are held at once before equal ones are added up.
 BLOCK = 1 << 21
 #: Pairs whose counts are broadcast, at most.
@@ -227,16 +227,6 @@ def linked(x: Aligned, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return _added(keys, times)
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows with about PART bytes of text."""
-    size = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")), np.int64, batch.num_rows)
-    which = (np.cumsum(size) - size) // PART
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [batch.num_rows]))
-    for lo, hi in zip(edges, edges[1:]):
-        if hi > lo:
-            yield batch.slice(lo, hi - lo)
-
-
 def _lists(values: np.ndarray, borders: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(borders - borders[0], pa.int32()), pa.array(values, kind))
 
@@ -251,7 +241,7 @@ def alignments(docs: DataFrame, ranks_path: str | None = None, model_path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides(ranks_path, model_path)
-        for part in (p for batch in batches for p in parts(batch)):
+        for part in (p for batch in batches for p in parts(batch, PART)):
             x = align(part.column("text").to_pylist(), a, b)
             inside = [group - np.repeat(x.at_group[:-1], np.diff(at)) for group, at in ((x.group_a, x.at_a), (x.group_b, x.at_b))]
             columns = [_lists(v, at, pa.int32()) for v, at in ((x.a, x.at_a), (x.b, x.at_b), (inside[0], x.at_a), (inside[1], x.at_b))]
@@ -267,7 +257,7 @@ def measured(docs: DataFrame, ranks_path: str | None = None, model_path: str | N
         a, b = sides(ranks_path, model_path)
         n_ids = max(len(a.table), len(b.table))
         bits = int(n_ids - 1).bit_length()
-        for part in (p for batch in batches for p in parts(batch)):
+        for part in (p for batch in batches for p in parts(batch, PART)):
             x = align(part.column("text").to_pylist(), a, b)
             sha = digests(x, n_ids)
             n_groups = int(x.at_group[-1])

@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,16 @@ def id_fold(mod: int, doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def parts(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``size`` bytes of text (a longer text is in a run with few others)."""
+    bytes_ = np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in batch.column("text")), np.int64, batch.num_rows)
+    which = (np.cumsum(bytes_) - bytes_) // size
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(which)) + 1, [batch.num_rows]))
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 

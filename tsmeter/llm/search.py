@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, shared_table
+from .common import id_and_text, parts, shared_table
 
 #: Letters and digits of ASCII and everything beyond ASCII, in bytes that are lower-cased.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 IN_TERM = np.array([TERM.match(bytes([b]).lower()) is not None for b in range(256)])
+#: Bytes of text whose terms are counted together.
+PART = 4 << 20
 #: Postings of a shard; terms of the items that are searched together; merging tasks for each item.
 SHARD, BLOCK, SALTS = 1 << 20, 1 << 20, 16
 INDEX = "doc_ids array<long>, terms array<binary>, starts array<int>, docs array<int>, impacts array<int>"
@@ -60,15 +62,16 @@ def lengths(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and all their terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column("text").cast(pa.large_binary())
+        for part in (p for batch in batches for p in parts(batch, PART)):
+            text = part.column("text").cast(pa.large_binary())
             at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            inside = IN_TERM[np.frombuffer(text.buffers()[2] or b"", np.uint8)[: at[-1]]]
+            inside = IN_TERM[np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]]
+            at = at - at[0]
             first = inside.copy()
             first[1:] &= ~inside[:-1]
             starts = at[:-1][at[:-1] < at[1:]]
             first[starts] = inside[starts]
-            n = np.diff(np.concatenate(([0], np.cumsum(first)))[at])
+            n = np.diff(np.searchsorted(np.flatnonzero(first), at))
             yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
 
     row = id_and_text(docs).select("text").mapInArrow(run, "docs long, terms long").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("terms"), F.lit(0)).alias("terms")).first()
