@@ -202,9 +202,12 @@ def average_windows(scores: DataFrame, by: Sequence[str] = (), window: str = "wi
     return scores.groupBy(*by).agg(*(strict_avg(F.col(f"`{c}`")).alias(c) for c in names))
 
 
-def scored_long(windows: DataFrame, forecasts: DataFrame, targets: Sequence[str], season: int, levels: Sequence[float] = (), id_column: str = "id") -> DataFrame:
+def scored_long(windows: DataFrame, forecasts: DataFrame, targets: Sequence[str], season: int, levels: Sequence[float] = (), id_column: str = "id", scales: DataFrame | None = None) -> DataFrame:
     """The metrics' input from windows and nested forecasts.
 
+    ``scales``: window_idx, id, target_name, scale_abs, scale_sq where the windows do not hold
+    the whole past (default: from the windows' own past).
+
     ``forecasts``: window_idx, id, target_name, predictions (array) and a column of
     arrays for each level, named by the level.  One equi-join on (window, id, target).
     """
@@ -212,6 +215,8 @@ def scored_long(windows: DataFrame, forecasts: DataFrame, targets: Sequence[str]
 
     each = F.array(*(F.struct(F.lit(t).alias("target_name"), F.col("past").getField(t).cast("array<double>").alias("past"), F.col("future").getField(t).cast("array<double>").alias("truth")) for t in targets))
     truth = windows.select("window_idx", F.col(id_column).alias("id"), F.explode(each).alias("_t")).select("window_idx", "id", "_t.target_name", "_t.truth", seasonal_error("_t.past", season).alias(ABS), seasonal_error("_t.past", season, True).alias(SQ))
+    if scales is not None:
+        truth = truth.drop(ABS, SQ).join(scales, ["window_idx", "id", "target_name"])
     joined = truth.join(forecasts.withColumnRenamed(id_column, "id"), ["window_idx", "id", "target_name"])
     return to_steps(joined, levels)
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import frequency, numeric, series
-from .operators import adapters, analytics, baselines, features, metrics, predictions, reshape, validate, windows
+from .operators import adapters, analytics, baselines, features, metrics, predictions, reshape, segments, validate, windows
+from .sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,6 +194,48 @@ def dropped_series(spark, sf_dir):
     return windows.dropped(df, windows.split(df, (60, 70, 75), 5), 3)
 
 
+# -- long series in segments ------------------------------------------------------------------------
+
+SIZE, LONG_CUTS = 256, (-21, -14, -7)
+SHIPDAY = "shipday AS (SELECT l_returnflag || '_' || l_linestatus AS id, CAST(l_shipdate AS TIMESTAMP) AS timestamp, sum(l_quantity) AS target, CAST(count(*) AS DOUBLE) AS n_items FROM lineitem GROUP BY 1, 2)"
+
+
+def daily_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments by day, flag and status, some thousand steps each, in segments of SIZE."""
+    t = table(spark, sf_dir, "lineitem")
+    days = t.groupBy(F.concat_ws("_", "l_returnflag", "l_linestatus").alias("id"), F.col("l_shipdate").cast("timestamp_ntz").alias("timestamp")).agg(F.sum("l_quantity").alias("target"), F.count(F.lit(1)).cast("double").alias("n_items"))
+    return kept(segments.build(days, ["target", "n_items"], size=SIZE), "segments")
+
+
+def long_steps(parts: DataFrame, cut: DataFrame) -> DataFrame:
+    out = parts.join(cut.select("window_idx", "id", "cut"), ["window_idx", "id"]).select("window_idx", "id", (F.col("first") - F.col("cut")).alias("_at"), F.posexplode(F.arrays_zip("timestamp", "target")).alias("_k", "_v"))
+    return out.select(F.col("window_idx").cast("int").alias("window_idx"), "id", (F.col("_at") + F.col("_k")).cast("long").alias("step"), F.date_format("_v.timestamp", "yyyy-MM-dd").alias("day"), r("_v.target").alias("value"))
+
+
+@query(part_sql(SHIPDAY, "shipday", "fut", cutting(LONG_CUTS)))
+def long_windows(spark, sf_dir):
+    """The same rows as windows over whole arrays give."""
+    s = daily_segments(spark, sf_dir)
+    cut = segments.cuts(s, LONG_CUTS, H)
+    return long_steps(segments.future(s, cut, H, ["timestamp", "target"], SIZE), cut)
+
+
+@query(part_sql(SHIPDAY, "shipday", "fut", cutting(("1995-05-10", "1998-01-01"), H)))
+def long_cutoff_times(spark, sf_dir):
+    s = daily_segments(spark, sf_dir)
+    cut = segments.cuts(s, (_at("1995-05-10"), _at("1998-01-01")), H)
+    return long_steps(segments.future(s, cut, H, ["timestamp", "target"], SIZE), cut)
+
+
+@query(f"WITH {SHIPDAY}, {positions('shipday')}, {cutting(LONG_CUTS, max_context=1000)} SELECT CAST(window_idx AS INT) AS window_idx, id, count(*) AS steps, min(strftime(timestamp, '%Y-%m-%d')) AS first_day, max(strftime(timestamp, '%Y-%m-%d')) AS last_day, round(sum(target), 4) AS total FROM past GROUP BY 1, 2")
+def long_past(spark, sf_dir):
+    s = daily_segments(spark, sf_dir)
+    parts = segments.past(s, segments.cuts(s, LONG_CUTS, H), ["timestamp", "target"], SIZE, max_context=1000)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    sums = parts.groupBy(F.col("window_idx").cast("int").alias("window_idx"), "id").agg(F.sum(F.size("target")).alias("steps"), day(F.min(F.get("timestamp", F.lit(0)))).alias("first_day"), day(F.max(F.element_at("timestamp", -1))).alias("last_day"), F.sum(F.aggregate("target", F.lit(0.0), lambda a, b: a + b)).alias("total"))
+    return sums.withColumn("total", r("total", 4))
+
+
 # -- baselines ------------------------------------------------------------------------------------
 
 HIST = "hist AS (SELECT window_idx, id, idx, list(target ORDER BY pos) AS y FROM past GROUP BY 1, 2, 3), steps AS (SELECT hist.*, s.step FROM hist, (SELECT unnest(generate_series(0, 6)) AS step) s)"
@@ -362,6 +405,18 @@ def sql_per_quantile(spark, sf_dir):
     return out.select(F.col("window_idx").cast("int").alias("window_idx"), *(r(F.col(f"`SQL[{q}]`"), 5).alias(f"level_{i}") for i, q in enumerate(LEVELS)))
 
 
+@query(f"WITH {SHIPDAY}, {positions('shipday')}, {cutting(LONG_CUTS)}, {HIST}, {ERRORS}, {FORE} SELECT CAST(window_idx AS INT) AS window_idx, round(avg(abs(y - p) / nullif(scale_abs, 0)), 5) AS mase, round(sqrt(avg((y - p) * (y - p) / nullif(scale_sq, 0))), 5) AS rmsse FROM scored GROUP BY 1")
+def long_mase(spark, sf_dir):
+    """Scales from all segments of the past, forecasts from its last season."""
+    s = daily_segments(spark, sf_dir)
+    cut = segments.cuts(s, LONG_CUTS, H)
+    w = segments.windows(s, cut, H, S, ["target"], SIZE)
+    scales = segments.seasonal_errors(s, cut, "target", S, SIZE).withColumn("target_name", F.lit("target"))
+    scored_steps = metrics.scored_long(w, baselines.forecast(w, "seasonal_naive", ["target"], H, S), ["target"], S, scales=scales)
+    out = metrics.evaluate(scored_steps, ["MASE", "RMSSE"])
+    return out.select(F.col("window_idx").cast("int").alias("window_idx"), r("MASE", 5).alias("mase"), r("RMSSE", 5).alias("rmsse"))
+
+
 @query(f"{SCORED} SELECT CAST(window_idx AS INT) AS window_idx, id, round(min(scale_abs), 7) AS seasonal_abs, round(min(scale_sq), 3) AS seasonal_sq FROM scored GROUP BY 1, 2")
 def seasonal_error(spark, sf_dir):
     w = daily_windows(spark, sf_dir)
