@@ -6,6 +6,7 @@ by priority.  Results are flat and rounded alike on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -798,7 +799,10 @@ def evaluation_summary(spark, sf_dir):
     return spark.createDataFrame([(row["model_name"], round(row["test_error"], 5), row["num_forecasts"])], "model_name string, test_error double, num_forecasts long")
 
 
-@query(f"{EVAL}, {ERRORS}, {FORE} SELECT CAST(window_idx AS INT) AS window_idx, count(y) AS n, round(avg(abs(y - p)), 5) AS mae, round(sum(abs(y - p)) / sum(abs(y)), 5) AS wape, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(avg(abs(y - p) / nullif(scale_abs, 0)), 5) AS mase FROM scored GROUP BY 1")
+STREAMED = f"{EVAL}, {ERRORS}, {FORE} SELECT CAST(window_idx AS INT) AS window_idx, count(y) AS n, round(avg(abs(y - p)), 5) AS mae, round(sum(abs(y - p)) / sum(abs(y)), 5) AS wape, round(sqrt(avg((y - p) * (y - p))), 5) AS rmse, round(avg(abs(y - p) / nullif(scale_abs, 0)), 5) AS mase FROM scored GROUP BY 1"
+
+
+@query(STREAMED)
 def streaming_scores(spark, sf_dir):
     """The stream's sums, here fed with a table (tests feed it with a stream)."""
     from .streaming import scores as stream
@@ -808,3 +812,27 @@ def streaming_scores(spark, sf_dir):
     actuals = daily(spark, sf_dir).select("id", F.lit("target").alias("target_name"), "timestamp", F.col("target").alias("y"))
     out = stream.scores(stream.error_sums(actuals, stream.step_forecasts(f, ("scale_abs",))))
     return out.select(F.col("window_idx").cast("int").alias("window_idx"), "n", r("MAE", 5).alias("mae"), r("WAPE", 5).alias("wape"), r("RMSE", 5).alias("rmse"), r("MASE", 5).alias("mase"))
+
+
+@query(STREAMED)
+def stateful_scores(spark, sf_dir):
+    """A real stream of the daily values in two runs: the second restarts from the state that the
+    first left.  Seasonal errors are the state's own."""
+    from .sources.shared import folder
+    from .streaming import scores as stream
+    from .streaming import stateful
+
+    w = daily_windows(spark, sf_dir)
+    f = baselines.forecast(w, "seasonal_naive", ["target"], H, S).join(w.select("window_idx", "id", F.col("future.timestamp").alias("timestamp")), ["window_idx", "id"])
+    actuals = kept(daily(spark, sf_dir).select("id", "timestamp", F.col("target").alias("y")), "actuals")
+    days = actuals.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    middle = days["a"] + (days["b"] - days["a"]) * 2 / 3
+    own = stateful.session(spark, 4)
+    forecasts = own.read.parquet(*kept(stream.step_forecasts(f), "forecasts").inputFiles())
+    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in (F.col("timestamp") <= F.lit(middle), F.col("timestamp") > F.lit(middle)):
+        actuals.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        source = own.readStream.schema(actuals.schema).parquet(f"{base}/in")
+        stateful.start(stateful.score_stream(source, forecasts, S), f"{base}/out", f"{base}/state").awaitTermination()
+    out = stream.scores(stateful.latest(spark, f"{base}/out"))
+    return out.select(F.col("window_idx").cast("int").alias("window_idx"), "n", r("MAE", 5).alias("mae"), r("WAPE", 5).alias("wape"), r("RMSE", 5).alias("rmse"), r("MASE", 5).alias("mase"))
