@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import baselines
+from ..operators import baselines, smoothing
 from .benchmark import Benchmark
 from .task import Task, Timer
 
@@ -105,6 +105,52 @@ class AverageModel(BaselineModel):
         return 1
 
 
+class SmoothingModel(ForecastingModel):
+    """Series go through the method's recursion together, batch by batch."""
+
+    method = ""
+
+    @abstractmethod
+    def options(self) -> dict: ...
+
+    def _fit_predict(self, spark, task):
+        season = baselines.capped_season(task.seasonality, task.max_context_length)
+        with self.inference:
+            return smoothing.forecast(task.windows(spark), self.method, task.targets, task.horizon, season, task.quantile_levels, task.id_column, **self.options())
+
+
+class ThetaModel(SmoothingModel):
+    method = "theta"
+
+    def options(self):
+        return {}
+
+
+class EtsModel(SmoothingModel):
+    method = "ets"
+
+    def options(self):
+        return {}
+
+
+class CrostonModel(SmoothingModel):
+    method = "croston"
+
+    def options(self):
+        return {"corrected": True}
+
+
+class StatisticalEnsembleModel(ForecastingModel):
+    """Step-wise medians of Theta, ETS and the seasonal naive forecast, which also fills what they leave."""
+
+    model_name = "statistical_ensemble"
+
+    def _fit_predict(self, spark, task):
+        season = baselines.capped_season(task.seasonality, task.max_context_length)
+        with self.inference:
+            return smoothing.median_ensemble(task.windows(spark), ["theta", "ets"], task.targets, task.horizon, season, task.quantile_levels, task.id_column)
+
+
 class PerSeriesModel(ForecastingModel):
     """A model of one series at a time in Python: subclasses write ``predict``.
 

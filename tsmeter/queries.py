@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import frequency, numeric, series
-from .operators import adapters, analytics, baselines, features, metrics, predictions, reshape, segments, validate, windows
+from .operators import adapters, analytics, baselines, features, metrics, predictions, reshape, segments, smoothing, validate, windows
 from .sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,6 +275,44 @@ def residual_quantiles(spark, sf_dir):
     return out.select(F.col("window_idx").cast("int").alias("window_idx"), "id", F.posexplode(z).alias("step", "_v")).select("window_idx", "id", F.col("step").cast("long").alias("step"), *(r(f"_v.q_{i}", 5).alias(f"q_{i}") for i in range(3)))
 
 
+ALPHAS = tuple(i / 20 for i in range(1, 20))
+SES = f"grid AS (SELECT unnest([{', '.join(map(str, ALPHAS))}]::DOUBLE[]) AS a), ses AS (SELECT window_idx, id, y, a, 1 AS t, y[1] AS level, CAST(0 AS DOUBLE) AS squares FROM hist, grid UNION ALL SELECT window_idx, id, y, a, t + 1, level + a * (y[t + 1] - level), squares + (y[t + 1] - level) * (y[t + 1] - level) FROM ses WHERE t < len(y)), best AS (SELECT *, row_number() OVER (PARTITION BY window_idx, id ORDER BY squares, a) AS k FROM ses WHERE t = len(y)), line AS (SELECT window_idx, id, regr_slope(target, pos) AS b FROM past GROUP BY 1, 2)"
+
+
+@query(f"{EVAL.replace('WITH', 'WITH RECURSIVE', 1)}, {SES} SELECT CAST(window_idx AS INT) AS window_idx, id, CAST(step AS BIGINT) AS step, round(level + b / 2 * (step + (1 - power(1 - a, t)) / a), 5) AS value FROM best JOIN line USING (window_idx, id) JOIN steps USING (window_idx, id) WHERE k = 1")
+def theta(spark, sf_dir):
+    """With the smoothing weight taken from a grid, as SQL can; ``alphas=None`` searches it."""
+    out = smoothing.forecast(daily_windows(spark, sf_dir), "theta", ["target"], H, alphas=ALPHAS)
+    return out.select("window_idx", "id", F.posexplode("predictions").alias("step", "value")).select("window_idx", "id", F.col("step").cast("long").alias("step"), r("value", 5).alias("value"))
+
+
+DEMAND = "days AS (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS timestamp), buys AS (SELECT CAST(user_id AS VARCHAR) AS id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS timestamp, sum(value) AS v FROM events GROUP BY 1, 2), demand AS (SELECT u.id, d.timestamp, coalesce(v, 0) AS target FROM (SELECT DISTINCT id FROM buys) u CROSS JOIN days d LEFT JOIN buys b ON b.id = u.id AND b.timestamp = d.timestamp)"
+
+
+def user_demand(spark, sf_dir) -> DataFrame:
+    """Nested: each user's value by day, 0 on days without an event."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.to_date("ts").alias("day"), "value")
+    low, high = e.agg(F.min("day"), F.max("day")).first()
+    per_day = e.groupBy("id", "day").agg(F.sum("value").alias("v")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("by_day"))  # a row for each day at most
+    days = F.sequence(F.lit(low), F.lit(high), F.expr("interval 1 day"))
+    return per_day.select("id", F.transform(days, lambda d: d.cast("timestamp_ntz")).alias("timestamp"), F.transform(days, lambda d: F.coalesce(F.try_element_at("by_day", d), F.lit(0.0))).alias("target"))
+
+
+@query(f"WITH RECURSIVE {DEMAND}, {positions('demand')}, {cutting(CUTS)}, hits AS (SELECT window_idx, id, target AS y, pos - coalesce(lag(pos) OVER (PARTITION BY window_idx, id ORDER BY pos), -1) AS gap, row_number() OVER (PARTITION BY window_idx, id ORDER BY pos) AS k, count(*) OVER (PARTITION BY window_idx, id) AS n FROM past WHERE target <> 0), c AS (SELECT window_idx, id, k, n, CAST(y AS DOUBLE) AS size, CAST(gap AS DOUBLE) AS wait FROM hits WHERE k = 1 UNION ALL SELECT h.window_idx, h.id, h.k, h.n, c.size + 0.1 * (h.y - c.size), c.wait + 0.1 * (h.gap - c.wait) FROM c JOIN hits h ON h.window_idx = c.window_idx AND h.id = c.id AND h.k = c.k + 1) SELECT CAST(p.window_idx AS INT) AS window_idx, p.id, round(coalesce(c.size / c.wait, 0), 6) AS value FROM (SELECT DISTINCT window_idx, id FROM past) p LEFT JOIN c ON c.window_idx = p.window_idx AND c.id = p.id AND c.k = c.n")
+def croston(spark, sf_dir):
+    w = windows.split(user_demand(spark, sf_dir), CUTS, H)
+    out = smoothing.forecast(w, "croston", ["target"], H)
+    return out.select("window_idx", "id", r(F.get("predictions", F.lit(H - 1))).alias("value"))
+
+
+@query(None)
+def ets(spark, sf_dir):
+    """Fitted weights have no SQL form; tests compare with a plain recursion and search."""
+    out = smoothing.forecast(daily_windows(spark, sf_dir), "ets", ["target"], H, S, LEVELS)
+    z = F.arrays_zip("predictions", *(F.col(f"`{q}`").alias(f"q_{i}") for i, q in enumerate(LEVELS)))
+    return out.select("window_idx", "id", F.posexplode(z).alias("step", "_v")).select("window_idx", "id", F.col("step").cast("long").alias("step"), r("_v.predictions", 5).alias("value"), *(r(f"_v.q_{i}", 5).alias(f"q_{i}") for i in range(3)))
+
+
 GAPPY = "gappy AS (SELECT *, CASE WHEN pos % 5 = 3 OR pos < 2 THEN NULL ELSE target END AS g FROM pos)"
 
 
