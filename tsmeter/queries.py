@@ -639,7 +639,16 @@ def leaderboard(spark, sf_dir):
     return out.select("model_name", *(r(c, 5).alias(c) for c in out.columns[1:-1]), "num_failures")
 
 
-@query(None)
+def drawn(n: int, resamples: int) -> str:
+    """The bootstrap's counts of ``n`` tasks, a row for each resample."""
+    return f"draws(d, w) AS (VALUES {', '.join(f'({i}, {list(x)})' for i, x in enumerate(analytics.resamples(n, resamples, 123)))})"
+
+
+WON = "CASE WHEN a.e < b.e THEN 1.0 WHEN a.e = b.e THEN 0.5 ELSE 0.0 END"
+BOUNDS = ", ".join(f"round(quantile_cont({c}, {q}), 5) AS {name}_{side}" for c, name in (("wr", "win_rate"), ("sk", "skill_score")) for q, side in ((0.025, "lower"), (0.975, "upper")))
+
+
+@query(f"{BOARD}, {drawn(10, 1000)}, ord AS (SELECT id, window_idx, row_number() OVER (ORDER BY id, {CUTCASE}) AS k FROM (SELECT DISTINCT id, window_idx FROM filled)), duel AS (SELECT a.id, a.window_idx, a.model, avg({WON}) AS won FROM filled a JOIN filled b ON a.id = b.id AND a.window_idx = b.window_idx AND a.model <> b.model GROUP BY 1, 2, 3), st AS (SELECT f.model, d, sum(draws.w[k] * won) / 10 AS wr, 1 - exp(sum(draws.w[k] * ln(e)) / 10) AS sk FROM filled f JOIN duel USING (id, window_idx, model) JOIN ord USING (id, window_idx), draws GROUP BY 1, 2), iv AS (SELECT model, {BOUNDS} FROM st GROUP BY 1) SELECT model AS model_name, round(wr.w, 5) AS win_rate, win_rate_lower, win_rate_upper, round(s, 5) AS skill_score, skill_score_lower, skill_score_upper FROM wr JOIN sk USING (model) JOIN iv USING (model)")
 def leaderboard_ci(spark, sf_dir):
     out = analytics.leaderboard(model_scores(spark, sf_dir), missing_strategy="impute", leakage_imputation_model="naive", n_resamples=1000)
     return out.select("model_name", *(r(c, 5).alias(c) for c in out.columns if c.startswith(("win_rate", "skill_score"))))
@@ -651,9 +660,10 @@ def pairwise_comparison(spark, sf_dir):
     return out.select("model_1", "model_2", r("win_rate", 5).alias("win_rate"), r("skill_score", 5).alias("skill_score"))
 
 
-@query(None)
+@query(f"{SUMMARIES}, {drawn(9, 200)}, filled AS (SELECT id, window_idx, model, score AS e FROM res WHERE (id, window_idx) NOT IN (SELECT (id, window_idx) FROM res WHERE score IS NULL)), ord AS (SELECT id, window_idx, row_number() OVER (ORDER BY id, {CUTCASE}) AS k FROM (SELECT DISTINCT id, window_idx FROM filled)), duel AS (SELECT a.id, a.window_idx, a.model AS model_1, b.model AS model_2, {WON} AS won, ln(least(greatest(a.e / b.e, 0.01), 100)) AS ratio FROM filled a JOIN filled b ON a.id = b.id AND a.window_idx = b.window_idx), st AS (SELECT model_1, model_2, d, sum(w[k] * won) / 9 AS wr, 1 - exp(sum(w[k] * ratio) / 9) AS sk FROM duel JOIN ord USING (id, window_idx), draws GROUP BY 1, 2, 3), iv AS (SELECT model_1, model_2, {BOUNDS} FROM st GROUP BY 1, 2), pt AS (SELECT model_1, model_2, round(avg(won), 5) AS win_rate, round(1 - exp(avg(ratio)), 5) AS skill_score FROM duel GROUP BY 1, 2) SELECT pt.*, win_rate_lower, win_rate_upper, skill_score_lower, skill_score_upper FROM pt JOIN iv USING (model_1, model_2)")
 def pairwise_ci(spark, sf_dir):
-    return analytics.pairwise_comparison(model_scores(spark, sf_dir), missing_strategy="drop", n_resamples=200)
+    out = analytics.pairwise_comparison(model_scores(spark, sf_dir), missing_strategy="drop", n_resamples=200)
+    return out.select("model_1", "model_2", *(r(c, 5).alias(c) for c in out.columns[2:]))
 
 
 @query(f"{BOARD} SELECT model AS model_name, round(100 * w, 4) AS win_rate, round(100.0 * f / 10, 4) AS num_failures FROM wr JOIN nf USING (model) WHERE model = 'seasonal_naive' OR model IN (SELECT model FROM wr ORDER BY w DESC, model LIMIT 2)")
