@@ -258,7 +258,7 @@ def test_pipeline(spark, small, odd, labels, documents):
     own = dict(sets)
     pairs = {(min(a, b), max(a, b)) for ds in by_shingle.values() for a in ds for b in ds if a != b}
     for a, b in sorted(pairs):
-        if similar.alike(own[a], own[b]) and up[a] != up[b]:
+        if len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.8 and up[a] != up[b]:
             low, high = sorted((up[a], up[b]))
             up = {k: low if v == high else v for k, v in up.items()}
     assert sorted(r.doc_id for r in near.collect()) == sorted(set(up.values())) and len(set(up.values())) < len(up)
@@ -281,10 +281,52 @@ def test_near_dedup_keeps_rows_with_null_or_repeated_ids(spark, small):
     assert got == sorted(t for _, t in made[:-1])
 
 
-def test_near_dedup_finds_what_brute_force_finds(spark, small, monkeypatch):
+def test_near_dedup_in_a_crowd(spark):
+    """Texts that share a passage and are not alike; among them pairs that are."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    passage = word(440)
+    made = [passage + word(60) for _ in range(400)]
+    for _ in range(15):
+        own = word(62)
+        made += [passage + own, passage + own[:14] + word(48)]
+    for _ in range(3):  # groups of copies with the passage
+        own = word(60)
+        made += [passage + own + word(k % 7) for k in range(60)]
+    order = rng.permutation(len(made)).tolist()
+    rows_ = [(i, " ".join(made[k])) for i, k in enumerate(order)]
+    sets = [similar.hashes(t) for _, t in rows_]
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if up[i] != up[j] and similar.alike(sets[i], sets[j]):
+                low, high = sorted((up[i], up[j]))
+                up = [low if c == high else c for c in up]
+    assert sum(c != i for i, c in enumerate(up)) == 15 + 3 * 59
+    got = {r["node"]: r["component"] for r in similar.components(spark.createDataFrame(rows_, "row long, text string"), 5).collect()}
+    assert [got.get(i, i) for i in range(len(sets))] == up
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 64])
+def test_candidates_miss_no_pair(spark, monkeypatch, cells):
+    """Whatever order the counters give."""
+    monkeypatch.setattr(similar, "CELLS", cells)
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 60))
+        for _ in range(4):
+            change = rng.random(len(base)) < rng.choice([0.0, 0.05, 0.12, 0.3])
+            sets.append(np.unique(np.concatenate((np.where(change, rng.integers(0, 1 << 62, len(base)), base), rng.integers(0, 1 << 62, rng.integers(0, 4))))))
+    df = spark.createDataFrame([(i, i if i % 9 else 0, x.tolist()) for i, x in enumerate(sets)], "row long, component long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in similar.candidates(df).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if (i % 9 or j % 9) and similar.alike(sets[i], sets[j])}
+    assert want <= got and len(want) >= 30 and len(got) < 3 * len(want)
+
+
+def test_near_dedup_finds_what_brute_force_finds(spark, small):
     from tsmeter.llm import stages
 
-    monkeypatch.setattr(similar, "MORE", 2)  # several rounds
     rng = np.random.default_rng(3)
     made = []
     for _ in range(12):  # chains of copies near 0.8, and one large group

@@ -516,6 +516,16 @@ def test_near_duplicates(odd):
         assert np.int64(r["fp"]).astype(np.uint64) == fp[r["doc_id"]] and r["component_id"] == want[r["doc_id"]]
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark, monkeypatch):
+    """Fingerprints are the nodes: a null id links others, a repeated id does not."""
+    a, b = 0x0123456789ABCDEF, 0x7EDCBA9876543210
+    marks = [(3, a ^ 0b11), (None, a), (7, a ^ 0b1100), (4, b ^ 0b11), (5, b), (5, a ^ (0xFF << 32)), (9, a ^ (0xFF << 32) ^ 1), (None, 0xF0F0 << 40), (None, 0xF0F0 << 40)]
+    df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in marks], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: df)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in rows(simhash.near_duplicates(None))), key=str)
+    assert got == sorted([(3, 3), (None, 3), (7, 3), (4, 4), (5, 4), (5, 5), (9, 5), (None, None), (None, None)], key=str)
+
+
 def test_long_chain_components(spark):
     from tsmeter.llm.common import connected_components
 

@@ -211,7 +211,7 @@ def links(classes: DataFrame, budget: int = 2, leaf_size: int | None = None) ->
         x, y = near_pairs(fp[left], None if own else fp[right], budget, depth)
         return pa.table({"a": ids[left][x], "b": ids[left if own else right][y]})
 
-    dealt = classes.filter("id is not null").mapInArrow(deal, "task long, side byte, fp long, id long")
+    dealt = classes.mapInArrow(deal, "task long, side byte, fp long, id long")
     return dealt.groupBy("task").applyInArrow(join, "a long, b long")
 
 
@@ -221,13 +221,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf_size:
     component_id is the smallest doc_id that links of at most ``budget`` bits reach.
     Null and empty texts and texts without words have fingerprint 0 and are linked like
     any other; a text with fewer words than a shingle is one shingle.  The nodes are
-    fingerprints, so rows that repeat a doc_id with other fingerprints are not linked by
-    that; a null doc_id joins no component of others, unless its fingerprint is shared.
-    An empty table gives an empty result; other columns
-    are ignored.
+    fingerprints: rows that repeat a doc_id with other fingerprints are not linked by
+    that, and rows with a null doc_id link others; their component_id is null only if
+    nothing else is reached.  An empty table gives an empty result; other columns are
+    ignored.
     """
     marked = shared_table(fingerprints(docs, words), "simhash-fingerprints")
-    classes = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    found = connected_components(links(classes, budget, leaf_size), "simhash-links")
-    named = classes.join(found, classes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    classes = shared_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    found = connected_components(links(classes.select("fp", F.col("fp").alias("id")), budget, leaf_size), "simhash-links")
+    named = shared_table(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
