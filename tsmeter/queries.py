@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import frequency, numeric, series
-from .operators import adapters, analytics, baselines, features, metrics, predictions, reshape, segments, smoothing, validate, windows
+from .operators import adapters, analytics, autoregression, baselines, features, metrics, predictions, reshape, segments, smoothing, validate, windows
 from .sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,6 +305,18 @@ def croston(spark, sf_dir):
     return out.select("window_idx", "id", r(F.get("predictions", F.lit(H - 1))).alias("value"))
 
 
+TUNED = [autoregression.Candidate("none", (1,)), autoregression.Candidate("none", (7,)), autoregression.Candidate("difference", (7,))]
+FITS = f"o AS (SELECT unnest([14, 7]) AS origin), z AS (SELECT *, target - lag(target) OVER w1 AS d, lag(target, 1) OVER w1 AS l1, lag(target, 7) OVER w1 AS l7 FROM pos WINDOW w1 AS (PARTITION BY id ORDER BY pos)), zz AS (SELECT *, lag(d, 7) OVER (PARTITION BY id ORDER BY pos) AS d7 FROM z), fit AS (SELECT origin, regr_slope(target, l1) FILTER (pos >= 7) AS b1, regr_intercept(target, l1) FILTER (pos >= 7) AS a1, regr_slope(target, l7) AS b7, regr_intercept(target, l7) AS a7, regr_slope(d, d7) AS bd, regr_intercept(d, d7) AS ad FROM zz, o WHERE pos < len - origin GROUP BY 1), ends AS (SELECT zz.*, fit.*, pos - (len - origin) + 1 AS h, max(CASE WHEN pos = len - origin - 1 THEN target END) OVER (PARTITION BY id, origin) AS y0 FROM zz, fit), fc AS (SELECT *, a1 * (1 - power(b1, h)) / (1 - b1) + power(b1, h) * y0 AS p1, a7 + b7 * l7 AS p7, y0 + sum(ad + bd * d7) OVER (PARTITION BY id, origin ORDER BY pos) AS pd FROM ends WHERE h BETWEEN 1 AND 7 AND len - origin >= 8)"
+
+
+@query(f"WITH {DAILY}, {positions('daily')}, {FITS} SELECT origin AS origin, round(avg(abs(target - p1)), 4) AS none_1, round(avg(abs(target - p7)), 4) AS none_7, round(avg(abs(target - pd)), 4) AS difference_7 FROM fc GROUP BY 1")
+def autoregression_tuning(spark, sf_dir):
+    """Errors of three global autoregressions from two origins."""
+    errors = autoregression.tune(nested(daily(spark, sf_dir)), "target", TUNED, H, (14, 7)).errors
+    rows = [(o, *(round(errors[c, o], 4) for c in TUNED)) for o in (14, 7)]
+    return spark.createDataFrame(rows, "origin int, none_1 double, none_7 double, difference_7 double")
+
+
 @query(None)
 def ets(spark, sf_dir):
     """Fitted weights have no SQL form; tests compare with a plain recursion and search."""
