@@ -173,3 +173,17 @@ def test_fingerprint_is_stable(spark):
     df = univariate(spark, [5, 9, 7, 6, 8])
     a = reshape.fingerprint(df)
     assert a and a == reshape.fingerprint(df.repartition(3)) != reshape.fingerprint(df.limit(4))
+
+
+def test_fingerprint_sees_every_cell(spark):
+    rows = [(f"s{i}", i, float(i), None if i % 3 else "x", [1.0, None, float("nan")]) for i in range(40)]
+    schema = "id string, k int, v double, s string, y array<double>"
+    digest = lambda r: reshape.fingerprint(spark.createDataFrame(r, schema))
+    base = digest(rows)
+    assert base == digest(rows[::-1]) == reshape.fingerprint(spark.createDataFrame(rows, schema).repartition(7))
+    middle = rows[20]
+    for changed in (("z", *middle[1:]), (middle[0], 21, *middle[2:]), (*middle[:2], None, *middle[3:]), (*middle[:3], "", middle[4]), (*middle[:4], [1.0, float("nan"), None])):
+        assert digest([*rows[:20], changed, *rows[21:]]) != base
+    assert digest(rows + rows[:1]) != base != digest(rows[1:]) and digest([]) is not None
+    whole, one, two = (reshape.content_sums(spark.createDataFrame(r, schema)).first() for r in (rows, rows[:13], rows[13:]))
+    assert [(x + y) % m for x, y, m in zip(one[1:], two[1:], reshape.MODULI)] == list(whole[1:])

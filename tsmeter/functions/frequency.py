@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,16 +73,80 @@ def regular_months(timestamps: Column | str) -> Column:
     return F.when((F.size(steps) == 1) & (steps[0] > 0) & (day | last), steps[0])
 
 
+#: Names of weekdays from Monday, and of months (fixed values).
+WEEKDAYS = ("MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN")
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+#: Microseconds of the units of constant steps, the longest first (fixed values).
+UNITS = {"h": 3_600_000_000, "min": 60_000_000, "s": 1_000_000, "ms": 1_000, "us": 1}
+_DAY = 86_400_000_000
+
+
+def _neighbours(v: Column) -> Column:
+    """Differences of neighbours; empty for fewer than two."""
+    n = F.size(v) - 1
+    return F.when(n > 0, F.zip_with(F.slice(v, F.lit(2), n), F.slice(v, F.lit(1), n), lambda a, b: a - b)).otherwise(F.slice(v, 1, 0))
+
+
+def _counted(n: Column, name: Column) -> Column:
+    return F.concat(F.when(n == 1, F.lit("")).otherwise(n.cast("string")), name)
+
+
+def _pick(names: tuple[str, ...], k: Column) -> Column:
+    return F.get(F.array(*(F.lit(x) for x in names)), k.cast("int"))
+
+
+def name_of(timestamps: Column | str) -> Column:
+    """The frequency's name of a series, as pandas tells it (``W-SUN``, ``QS-OCT``, ``B``,
+    ``WOM-2TUE``, ``15min``), null where there is none or fewer than three steps.
+
+    Expressions only.  Steps of whole days are tried as years, quarters, months (at the
+    calendar's or the business days' first or last day), weeks and days, business days, and
+    weeks of a month, in this order; shorter ones as multiples of a unit.
+    """
+    t = F.transform(col(timestamps), lambda x: x.cast("timestamp"))
+    facts = F.struct(
+        F.transform(t, lambda x: F.unix_micros(x)).alias("us"), F.transform(t, lambda x: F.dayofmonth(x)).alias("day"), F.transform(t, lambda x: F.weekday(x)).alias("weekday"),
+        F.transform(t, lambda x: F.year(x) * 12 + F.month(x) - 1).alias("month"), F.transform(t, lambda x: F.dayofmonth(F.last_day(x))).alias("days"),
+    )
+
+    def told(f: Column) -> Column:
+        steps = F.sort_array(F.array_distinct(_neighbours(f["us"])))
+        months = F.array_distinct(_neighbours(f["month"]))
+        years = F.array_distinct(_neighbours(F.transform(f["month"], lambda m: F.floor(m / 12).cast("int"))))
+        least, one = F.get(steps, F.lit(0)), F.size(steps) == 1
+        place = F.arrays_zip(f["day"].alias("d"), f["days"].alias("n"), f["weekday"].alias("w"))
+        at = lambda rule: F.forall(place, rule)
+        where = (
+            F.when(at(lambda x: x["d"] == x["n"]), F.array(F.lit("E"), F.lit("")))
+            .when(at(lambda x: (x["d"] == x["n"]) | ((x["n"] - x["d"] < 3) & (x["w"] == 4))), F.array(F.lit("E"), F.lit("B")))
+            .when(at(lambda x: x["d"] == 1), F.array(F.lit("S"), F.lit("")))
+            .when(at(lambda x: (x["d"] == 1) | ((x["d"] <= 3) & (x["w"] == 0))), F.array(F.lit("S"), F.lit("B")))
+        )
+        calendar = lambda unit: F.concat(where[1], F.lit(unit), where[0])
+        month_of, first, weekday = F.get(f["month"], F.lit(0)) % 12, F.get(months, F.lit(0)), F.get(f["weekday"], F.lit(0))
+        same_month = F.size(F.array_distinct(F.transform(f["month"], lambda m: m % 12))) == 1
+        quarter_end = _pick(("OCT", "NOV", "DEC"), month_of % 3)  # the quarter's anchor, by its position
+        yearly = F.when((F.size(years) == 1) & same_month, _counted(F.get(years, F.lit(0)), F.concat(calendar("Y"), F.lit("-"), _pick(MONTHS, month_of))))
+        quarterly = F.when((F.size(months) == 1) & (first % 3 == 0), _counted(F.floor(first / 3), F.concat(calendar("Q"), F.lit("-"), quarter_end)))
+        monthly = F.when(F.size(months) == 1, _counted(first, calendar("M")))
+        span = F.floor(least / _DAY)
+        daily = F.when(one & (span % 7 == 0), _counted(F.floor(span / 7), F.concat(F.lit("W-"), _pick(WEEKDAYS, weekday)))).when(one, _counted(span, F.lit("D")))
+        gaps = F.zip_with(F.slice(f["weekday"], F.lit(2), F.size(t)), _neighbours(f["us"]), lambda w, g: ((w == 0) & (g == 3 * _DAY)) | ((w > 0) & (w <= 4) & (g == _DAY)))
+        business = F.when((F.size(steps) == 2) & (steps[0] == _DAY) & (F.element_at(steps, -1) == 3 * _DAY) & F.forall(gaps, lambda ok: ok), F.lit("B"))
+        weeks = F.filter(F.array_distinct(F.transform(f["day"], lambda d: F.floor((d - 1) / 7))), lambda w: w < 4)
+        of_month = F.when((F.size(F.array_distinct(f["weekday"])) == 1) & (F.size(weeks) == 1), F.concat(F.lit("WOM-"), (F.get(weeks, F.lit(0)) + 1).cast("string"), _pick(WEEKDAYS, weekday)))
+        whole_days = F.coalesce(yearly, quarterly, monthly, daily, business, of_month)
+        hours = F.transform(steps, lambda x: x / UNITS["h"])
+        office = F.when(F.array_join(F.transform(hours, lambda x: x.cast("string")), ",").isin("1.0,17.0", "1.0,65.0", "1.0,17.0,65.0"), F.lit("bh"))
+        short = F.lit(None).cast("string")
+        for unit, micros in reversed(UNITS.items()):
+            short = F.when(least % micros == 0, _counted(F.floor(least / micros), F.lit(unit))).otherwise(short)
+        return F.when(least > 0, F.when(least % _DAY == 0, whole_days).otherwise(F.coalesce(office, F.when(one, short))))
+
+    complete = (F.size(t) >= 3) & F.forall(t, lambda x: x.isNotNull())
+    return F.when(complete, F.transform(F.array(facts), told)[0])
+
+
 def with_regularity(df: DataFrame, timestamps: str, name: str = "regular") -> DataFrame:
-    """Adds whether a series is regular.  Constant steps and steps of months are told by
-    expressions; only rows that these leave open go to Arrow batches (anchored calendars)."""
-    long = F.coalesce(F.size(timestamps) >= 3, F.lit(False))
-    told = F.coalesce(regular_delta(timestamps), regular_months(timestamps).cast("double")).isNotNull()
-
-    @F.pandas_udf("boolean")
-    def slow(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda t: infer(t) is not None)
-
-    settled = df.filter(told | ~long).withColumn(name, told & long)
-    return settled.unionByName(df.filter(~told & long).withColumn(name, slow(F.col(timestamps))))
+    """Adds whether a series is regular: whether its frequency has a name (``name_of``)."""
+    return df.withColumn(name, F.coalesce(name_of(timestamps).isNotNull(), F.lit(False)))

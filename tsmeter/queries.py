@@ -136,6 +136,22 @@ def freq_regular_flags(spark, sf_dir):
     return frequency.with_regularity(nested(monthly_orders(spark, sf_dir)), "timestamp").select("id", F.size("timestamp").cast("long").alias("steps"), "regular")
 
 
+KINDS = "kinds AS (SELECT DISTINCT 'month' AS kind, o_orderpriority AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS d FROM orders UNION ALL SELECT DISTINCT 'quarter', o_orderpriority, CAST(date_trunc('quarter', o_orderdate) AS DATE) FROM orders UNION ALL SELECT DISTINCT 'week', event_type, CAST(date_trunc('week', ts) AS DATE) FROM events UNION ALL SELECT DISTINCT 'weekday', event_type, CAST(ts AS DATE) FROM events WHERE isodow(ts) <= 5 UNION ALL SELECT DISTINCT 'day', event_type, CAST(ts AS DATE) FROM events)"
+KIND_GAPS = "gaps AS (SELECT kind, id, d, d - lag(d) OVER w AS g, (year(d) * 12 + month(d)) - (year(lag(d) OVER w) * 12 + month(lag(d) OVER w)) AS m, isodow(d) AS wd FROM kinds WINDOW w AS (PARTITION BY kind, id ORDER BY d)), facts AS (SELECT kind, id, count(*) AS n, min(g) AS g0, max(g) AS g1, min(m) AS m0, max(m) AS m1, bool_and(g IS NULL OR (wd = 1 AND g = 3) OR (wd BETWEEN 2 AND 5 AND g = 1)) AS business FROM gaps GROUP BY 1, 2)"
+
+
+@query(f"WITH {KINDS}, {KIND_GAPS} SELECT kind, id, CASE WHEN n < 3 THEN NULL WHEN kind = 'month' AND m0 = 1 AND m1 = 1 THEN 'MS' WHEN kind = 'quarter' AND m0 = 3 AND m1 = 3 THEN 'QS-OCT' WHEN kind = 'week' AND g0 = 7 AND g1 = 7 THEN 'W-MON' WHEN kind = 'weekday' AND business AND g0 = 1 AND g1 = 3 THEN 'B' WHEN kind = 'day' AND g0 = 1 AND g1 = 1 THEN 'D' END AS freq FROM facts")
+def freq_names(spark, sf_dir):
+    """Names of frequencies by expressions: months, quarters, weeks, business days, days."""
+    o, e = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    kinds = [("month", o, "o_orderpriority", period("month", "o_orderdate")), ("quarter", o, "o_orderpriority", period("quarter", "o_orderdate")), ("week", e, "event_type", period("week", "ts")), ("weekday", e.filter(F.weekday("ts") < 5), "event_type", period("day", "ts")), ("day", e, "event_type", period("day", "ts"))]
+    each = None
+    for kind, df, key, at in kinds:
+        one = df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), at.alias("t"))
+        each = one if each is None else each.unionByName(one)
+    return each.groupBy("kind", "id").agg(F.sort_array(F.collect_set("t")).alias("t")).select("kind", "id", frequency.name_of("t").alias("freq"))
+
+
 @query(f"WITH {DAILY} SELECT count(DISTINCT id) AS series, CAST(0 AS BIGINT) AS duplicate_ids, CAST(0 AS BIGINT) AS irregular, CAST(0 AS BIGINT) AS unequal_lengths FROM daily")
 def validate_series(spark, sf_dir):
     return validate.check(nested(daily(spark, sf_dir)))
@@ -148,6 +164,18 @@ def irregular_users(spark, sf_dir):
     return n.agg(F.count(F.lit(1)).alias("series"), F.count_if(F.col("delta").isNull() | (F.size("timestamp") < 3)).alias("constant_step_missing"))
 
 
+@query(f"WITH rows AS (SELECT md5(to_json({{o_orderkey: o_orderkey, o_custkey: o_custkey, o_orderstatus: o_orderstatus, o_orderpriority: o_orderpriority}})) AS h, o_orderpriority AS part FROM orders) SELECT part, count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) % {2**61 - 1} AS BIGINT) AS a, CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) % {2**59 - 55} AS BIGINT) AS b FROM rows GROUP BY 1")
+def content_digests(spark, sf_dir):
+    """The multiset hash of each part of a table."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    parts = [row[0] for row in o.select("o_orderpriority").distinct().collect()]  # a few priorities
+    each = None
+    for part in parts:
+        one = reshape.content_sums(o.filter(F.col("o_orderpriority") == part)).withColumn("part", F.lit(part))
+        each = one if each is None else each.unionByName(one)
+    return each.select("part", "n", "a", "b")
+
+
 # -- windows ------------------------------------------------------------------------------------
 
 
