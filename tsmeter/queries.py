@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import frequency, numeric, series
 from .operators import adapters, analytics, autoregression, baselines, features, metrics, predictions, reshape, segments, smoothing, validate, windows
+from .sources import datasets
 from .sources.shared import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,6 +177,17 @@ def content_digests(spark, sf_dir):
     return each.select("part", "n", "a", "b")
 
 
+@query("SELECT c_mktsegment AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 5000 AND c_nationkey IN (1, 2, 3) GROUP BY 1")
+def arrow_round_trip(spark, sf_dir):
+    """A table written as Arrow files and read with pruned batches and columns."""
+    from .sources import arrow_files, shared
+
+    path = f"{shared.folder(spark).removeprefix('file://')}/customers-{uuid.uuid4().hex}.arrow"
+    datasets.save(table(spark, sf_dir, "customer").repartitionByRange(4, "c_acctbal"), path, "append")
+    some = arrow_files.read(spark, path, ["c_mktsegment", "c_acctbal", "c_nationkey"], [("c_acctbal", ">", 5000.0), ("c_nationkey", "in", [1, 2, 3])])
+    return some.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("c_acctbal"), 2).alias("total"))
+
+
 # -- windows ------------------------------------------------------------------------------------
 
 

@@ -3,75 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from . import arrow_files
+from .arrow_files import ArrowFiles
 
 #: Session setting: the folder under which named datasets lie, as <root>/<path>/<config>.
 ROOT = "tsmeter.datasets.root"
 
 
-class _Batches(InputPartition):
-    def __init__(self, path: str, first: int, stop: int):
-        self.path, self.first, self.stop = path, first, stop
-
-
-def _open(path: str):
-    """A record-batch reader of an Arrow file or stream, on any file system pyarrow knows."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri(path)
-    source = system.open_input_file(name)
-    try:
-        return pa.ipc.open_file(source)
-    except pa.ArrowInvalid:
-        source.seek(0)
-        return pa.ipc.open_stream(source)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], batches: int):
-        self.paths, self.batches = paths, batches
-
-    def partitions(self):
-        out = []
-        for path in self.paths:
-            reader = _open(path)
-            n = getattr(reader, "num_record_batches", None)
-            steps = range(0, n, self.batches) if n is not None else [0]
-            out += [_Batches(path, i, i + self.batches if n is not None else -1) for i in steps]
-        return out
-
-    def read(self, partition):
-        reader = _open(partition.path)
-        if partition.stop < 0:
-            yield from reader
-        else:
-            for i in range(partition.first, min(partition.stop, reader.num_record_batches)):
-                yield reader.get_batch(i)
-
-
-class ArrowFiles(DataSource):
-    """``spark.read.format("arrow_file").load(path)``: Arrow IPC files, by record batch."""
-
-    @classmethod
-    def name(cls):
-        return "arrow_file"
-
-    def schema(self):
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        return from_arrow_schema(_open(self._paths()[0]).schema, prefer_timestamp_ntz=True)
-
-    def _paths(self) -> list[str]:
-        import glob
-
-        path = self.options["path"]
-        return sorted(glob.glob(path)) if "*" in path and "://" not in path else [path]
-
-    def reader(self, schema):
-        return _Reader(self._paths(), int(self.options.get("batchesperpartition", 16)))
-
-
 def load_file(spark: SparkSession, path: str, options: dict | None = None) -> DataFrame:
     """A parquet or Arrow file, folder or glob; ``options`` go to the file system."""
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -80,8 +19,8 @@ def load_file(spark: SparkSession, path: str, options: dict | None = None) -> Da
     if suffix == "parquet":
         # options of one read reach its file system, and no other read's
         return spark.read.options(**{k.removeprefix("spark.hadoop."): str(v) for k, v in (options or {}).items()}).parquet(path)
-    spark.dataSource.register(ArrowFiles)
-    return spark.read.format("arrow_file").load(path if "://" in path or path.startswith("/") else f"{__import__('os').path.abspath(path)}")
+    arrow_files.register(spark)
+    return spark.read.format("arrow_file").options(**{f"fs.{k}": str(v) for k, v in (options or {}).items()}).load(path)
 
 
 def load(spark: SparkSession, path: str, config: str | None = None, options: dict | None = None, root: str | None = None) -> DataFrame:
@@ -99,11 +38,19 @@ def load(spark: SparkSession, path: str, config: str | None = None, options: dic
 
 
 def save(df: DataFrame, path: str, mode: str = "error", partition_by: list[str] | None = None) -> None:
-    """Series or results as parquet (or .csv, by the path's end)."""
+    """Series or results as parquet (or .csv or .arrow, by the path's end)."""
     writer = df.write.mode(mode)
+    if path.rstrip("/").endswith(".arrow"):
+        if partition_by or mode not in ("append", "overwrite"):
+            raise ValueError("Arrow folders are written whole: mode 'append' or 'overwrite', no partition columns")
+        arrow_files.register(df.sparkSession)
+        return writer.format("arrow_file").save(path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path.endswith(".csv"):
         writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.parquet(path)
+
+
+__all__ = ["ROOT", "ArrowFiles", "load", "load_file", "save"]
