@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import frequency
 from . import features
 from .reshape import melt_targets, nested_to_long, statics
 
-Tables = dict[str, DataFrame | None]
+Tables = dict[str, DataFrame | list[str] | str | int | None]
 KEYS = ("window_idx",)
 
 
@@ -48,12 +49,25 @@ def _narrow(df: DataFrame, id_column: str, ordinal: bool) -> DataFrame:
 
 def entries(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
     """Past and prediction rows (past, then future with missing targets) of floats and
-    codes; codes are made for past and future apart.  Also past_only and known names."""
+    codes; codes are made for past and future apart.
+
+    Also what such a library must be told: ``known`` and ``past_only`` (names of covariates),
+    ``future_length`` and ``freq`` (the period's name, None for irregular times), both of the first
+    series by id; one small job finds them.
+    """
     p = _narrow(_long(past, id_column, timestamp_column), id_column, True)
     f = _narrow(_long(future, id_column, timestamp_column), id_column, True)
     tagged = p.withColumn("is_future", F.lit(False)).unionByName(f.withColumn("is_future", F.lit(True)), allowMissingColumns=True)
     s = _statics(past, id_column, static)
-    return {"past": p, "future": f, "prediction": tagged, "static": None if s is None else _narrow(s, id_column, True)}
+    fixed = {id_column, timestamp_column, *KEYS}
+    known = [c for c in f.columns if c not in fixed]
+    keys = [id_column, *(k for k in KEYS if k in past.columns)]
+    both = past.select(*keys, F.col(timestamp_column).alias("_p")).join(future.select(*keys, F.col(timestamp_column).alias("_f")), keys)
+    row = both.orderBy(*keys).select(frequency.name_of(F.concat("_p", "_f")).alias("freq"), F.size("_f").alias("n")).first()
+    return {
+        "past": p, "future": f, "prediction": tagged, "static": None if s is None else _narrow(s, id_column, True),
+        "known": known, "past_only": [c for c in p.columns if c not in fixed | {*known, *targets}], "future_length": row["n"] if row else None, "freq": frequency.period_alias(row["freq"]) if row and row["freq"] else None,
+    }
 
 
 def _univariate(targets: Sequence[str]) -> str:
@@ -70,9 +84,13 @@ def unique_id(past: DataFrame, future: DataFrame, *, targets, id_column, timesta
 
 
 def item_id(past: DataFrame, future: DataFrame, *, targets, id_column, timestamp_column, static) -> Tables:
+    """The past's rows carry their series' static columns; these are also a table of their own."""
     target = _univariate(targets)
     names = {id_column: "item_id", timestamp_column: "timestamp", target: "target"}
     out = long(past, future, targets=targets, id_column=id_column, timestamp_column=timestamp_column, static=static)
+    if static:  # from the series' own row, without a join
+        keep = [k for k in KEYS if k in past.columns]
+        out["past"] = nested_to_long(past, id_column, timestamp_column, keep=[*keep, *static], position=None)
     return {k: None if t is None else t.withColumnsRenamed(names) for k, t in out.items()}
 
 

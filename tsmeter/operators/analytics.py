@@ -417,4 +417,10 @@ def submission_problems(summaries: DataFrame, known_tasks: Sequence[str], requir
     return out.unionByName(twice).unionByName(unknown).unionByName(nan)
 
 
+def oversized_files(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """file, bytes of a submission's files beyond ``most`` bytes; their content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    return found.filter(F.col("bytes") > most)
+
+
 __all__ = ["leaderboard", "pairwise_comparison", "pivot_table", "strict_avg"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import baselines, smoothing
+from ..operators import autoregression, baselines, smoothing
 from .benchmark import Benchmark
 from .task import Task, Timer
 
@@ -151,6 +151,30 @@ class StatisticalEnsembleModel(ForecastingModel):
             return smoothing.median_ensemble(task.windows(spark), ["theta", "ets"], task.targets, task.horizon, season, task.quantile_levels, task.id_column)
 
 
+class AutoregressionModel(ForecastingModel):
+    """One autoregression for all series of a target, tuned on what lies before the first cutoff."""
+
+    def candidates(self, season: int) -> list[autoregression.Candidate]:
+        lags = list(dict.fromkeys([(1,), (1, 2, 3), *([(season,), (1, season)] if season > 1 else [])]))
+        return [autoregression.Candidate(t, own) for t in ("none", "difference") for own in lags]
+
+    def _fit_predict(self, spark, task):
+        windows, out = task.windows(spark), None
+        first = windows.filter(F.col("window_idx") == 0)
+        for target in task.targets:
+            with self.training:
+                history = first.select(F.col("past").getField(target).alias(target))
+                tuned = autoregression.tune(history, target, self.candidates(task.seasonality), task.horizon, (2 * task.horizon, task.horizon))
+            with self.inference:
+                one = autoregression.forecast(windows, tuned, target, task.horizon, task.id_column)
+            out = one if out is None else out.unionByName(one)
+        # only points: they stand for every level; a past without the lags has the last known value
+        last = baselines.forecast(windows, "naive", task.targets, task.horizon, 1, (), task.id_column).withColumnRenamed("predictions", "_last")
+        filled = out.join(last.withColumn("id", F.col("id").cast("string")), ["window_idx", "id", "target_name"])
+        points = F.zip_with("predictions", "_last", lambda a, b: F.coalesce(a, b))
+        return filled.select("window_idx", "id", "target_name", points.alias("predictions"), *(points.alias(str(q)) for q in task.quantile_levels))
+
+
 class PerSeriesModel(ForecastingModel):
     """A model of one series at a time in Python: subclasses write ``predict``.
 
@@ -181,12 +205,12 @@ class PerSeriesModel(ForecastingModel):
             return rows.mapInPandas(run, schema)
 
 
-def run(spark: SparkSession, model: ForecastingModel | str, tasks: Benchmark | Sequence[Task]) -> list[dict]:
-    """A summary row for each task."""
+def run(spark: SparkSession, model: ForecastingModel | str, tasks: Benchmark | Sequence[Task], storage_options: dict | None = None) -> list[dict]:
+    """A summary row for each task; ``storage_options`` go to all reads of the tasks."""
     model = ForecastingModel.named(model)() if isinstance(model, str) else model
     out = []
     for task in tasks.tasks if isinstance(tasks, Benchmark) else tasks:
-        forecasts = model.fit_predict(spark, task)
+        forecasts = model.fit_predict(spark, task.stored_with(storage_options))
         with model.inference:
             forecasts = forecasts.persist()
             forecasts.count()

@@ -792,14 +792,50 @@ def long_or_nested(spark, sf_dir):
     return spark.createDataFrame([flags], "long_is_long boolean, nested_is_long boolean")
 
 
-TIMES = ("1997-01-31", "2MS", 4)
+@query("SELECT o_orderpriority AS id, CAST(i AS BIGINT) AS window_idx, strftime(CASE i WHEN 0 THEN d ELSE date_trunc('month', d) + i * INTERVAL 2 MONTH END, '%Y-%m-%d') AS cutoff FROM (SELECT o_orderpriority, CAST(min(o_orderdate) AS TIMESTAMP) + INTERVAL 1 DAY AS d FROM orders GROUP BY 1), range(4) t(i) WHERE day(d) > 1")
+def cutoff_times(spark, sf_dir):
+    """Offsets from each group's first day but one: the first cutoff as it is, then whole steps from it."""
+    o = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((F.min("o_orderdate").cast("timestamp_ntz") + F.expr("interval 1 day")).alias("d")).filter(F.dayofmonth("d") > 1)
+    found = [(row[0], i, t.strftime("%Y-%m-%d")) for row in o.collect() for i, t in enumerate(frequency.cutoff_times(row["d"], "2MS", 4))]  # a few priorities
+    return spark.createDataFrame(found, "id string, window_idx long, cutoff string")
 
 
-@query("SELECT CAST(i AS BIGINT) AS window_idx, CASE i WHEN 0 THEN '1997-01-31' ELSE strftime(TIMESTAMP '1997-01-01' + i * INTERVAL 2 MONTH, '%Y-%m-%d') END AS cutoff FROM range(4) t(i)")
-def cutoff_times(spark, sf_dir):
-    """Offsets from a timestamp: the first cutoff as it is, then whole steps from it."""
-    found = frequency.cutoff_times(TIMES[0], TIMES[1], TIMES[2])
-    return spark.createDataFrame([(i, t.strftime("%Y-%m-%d")) for i, t in enumerate(found)], "window_idx long, cutoff string")
+@query(f"WITH {DAILY} SELECT id, strftime(min(timestamp), '%Y-%m-%d') AS first_day, count(*) AS steps, round(sum(target), 4) AS total FROM daily GROUP BY 1")
+def string_input(spark, sf_dir):
+    """Ids and times that come as text."""
+    text = daily(spark, sf_dir).select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "target")
+    out = reshape.long_to_nested(text.withColumn("id", F.col("id").cast("binary").cast("string")), string_input=True)
+    return out.select("id", F.date_format(F.get("timestamp", F.lit(0)), "yyyy-MM-dd").alias("first_day"), F.size("target").cast("long").alias("steps"), r(F.aggregate("target", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query(f"WITH {DAILY}, {positions('daily')}, {cutting()} SELECT CAST(window_idx AS INT) AS window_idx, id || '_' || n AS id, strftime(timestamp, '%Y-%m-%d') AS day, n_events FROM fut, (SELECT unnest(['target', 'users']) AS n)")
+def univariate_future(spark, sf_dir):
+    """The future's rows, one copy for each target."""
+    f = converted(spark, sf_dir, "item_id", True)["future"]
+    return f.select(F.col("window_idx").cast("int").alias("window_idx"), F.col("item_id").alias("id"), F.date_format("timestamp", "yyyy-MM-dd").alias("day"), "n_events")
+
+
+@query(f"{EVAL} SELECT CAST(window_idx AS INT) AS window_idx, id, CAST(step AS BIGINT) AS step, round(CASE WHEN list_min(y) >= 0 THEN greatest({POINTS['drift']}, 0) ELSE {POINTS['drift']} END, 6) AS value FROM steps")
+def clamped_forecast(spark, sf_dir):
+    """No negative forecast of a series that never was negative."""
+    w = daily_windows(spark, sf_dir)
+    f = baselines.forecast(w, "drift", ["target"], H).join(w.select("window_idx", "id", F.col("past").getField("target").alias("y")), ["window_idx", "id"])
+    out = f.select("window_idx", "id", F.posexplode(series.clamp_like("y", "predictions")).alias("step", "value"))
+    return out.select(F.col("window_idx").cast("int").alias("window_idx"), "id", F.col("step").cast("long").alias("step"), r("value").alias("value"))
+
+
+@query(f"WITH {DAILY}, {positions('daily')}, {GAPPY} SELECT id, pos, CASE WHEN id = 'click' THEN 0.0 ELSE round(g, 6) END AS out FROM gappy")
+def zero_if_all_missing(spark, sf_dir):
+    g = gappy(spark, sf_dir).withColumn("out", F.when(F.col("id") != "click", F.col("g")))
+    return features.zero_if_all_missing(g, "out").select("id", F.col("pos").cast("long").alias("pos"), r("out").alias("out"))
+
+
+@query(f"WITH {DAILY} SELECT 'D' AS freq, 'n_events' AS known, 'mean_value' AS past_only, CAST({H} AS INT) AS future_length, (SELECT count(DISTINCT id) FROM daily) AS series FROM daily GROUP BY 1")
+def adapter_facts(spark, sf_dir):
+    """What a library of entries is told beside its tables."""
+    c = converted(spark, sf_dir, "entries")
+    facts = c["past"].agg(F.count_distinct("id").alias("series"))
+    return facts.select(F.lit(c["freq"]).alias("freq"), F.lit(",".join(c["known"])).alias("known"), F.lit(",".join(c["past_only"])).alias("past_only"), F.lit(c["future_length"]).alias("future_length"), "series")
 
 
 @query(f"{SUMMARIES} SELECT model AS model_name, CAST(count(*) AS BIGINT) AS n, round(sum(score), 5) AS total FROM res WHERE model <> 'drift' AND {CUTCASE} = '{CUTS[1]}' GROUP BY 1")
