@@ -532,3 +532,17 @@ def test_long_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 90), (95, 100)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 95: 90, 100: 90}
+
+
+def test_doubled_constants_stay_small():
+    """Memory is linear in the text, with many letters and whatever is added."""
+    import resource
+    import string
+
+    alphabet = string.ascii_letters + string.digits
+    for line in ("a = a + a\n", "a = a + b\n", "b = a + 'Zq'\na = b + a\n"):
+        text = f'a = "{alphabet}"\nb = "{alphabet[::-1]}xyz"\n' + line * 50_000 + "token = a\n"
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        pairs = secrets.lex(text)
+        assert pairs[-1][0] == "token" and secrets.literal_score(pairs[-1][1]) > 0.9
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000  # KB

@@ -5,7 +5,7 @@ The lexer reads source and configuration syntax (``name = "literal"``,
 carries constants from name to name, and scores the literals that reach a name by
 how sensitive that name is and how little the literal looks like a placeholder.
 
-A constant is kept as counts of its characters and links to its parts, never as text
+A constant is kept as shares of its characters and links to its parts, never as text
 of its whole length, so the work is linear in a text however constants are doubled.
 
 Scale: one narrow pass over the texts, no shuffle, nothing kept between rows.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ SENSITIVE = (
 PHRASES = ("passphrase", "mnemonic")
 #: A placeholder is not longer than this.
 SHORT = 256
+#: Lengths of values are not told apart beyond this.
+LONG = 1e250
 
 _operator = re.compile(r":=|=>|=(?!=)|:(?!//)")
 # read backwards from an operator: blanks, closing quotes, the name, and what stands before it
@@ -66,37 +69,50 @@ def name_score(name: str) -> float:
 
 
 class Value:
-    """What a name holds: counts of characters, the parts it was made of, and its text if
-    that is short.  ``span`` is the literal's own place."""
+    """What a name holds: its distinct characters and their shares, its length, the parts it was
+    made of, and its text if that is short.  ``span`` is the literal's own place.
 
-    __slots__ = ("counts", "size", "text", "span", "parts")
+    A value takes some hundred bytes, however long it is and however often it was doubled.
+    """
+
+    __slots__ = ("letters", "shares", "size", "text", "span", "parts")
 
-    def __init__(self, counts: Counter, size: int, text: str | None, span: tuple[int, int] | None, parts: tuple):
-        self.counts, self.size, self.text, self.span, self.parts = counts, size, text, span, parts
+    def __init__(self, letters: str, shares: array, size: float, text: str | None, span: tuple[int, int] | None, parts: tuple):
+        self.letters, self.shares, self.size, self.text, self.span, self.parts = letters, shares, size, text, span, parts
 
 
 def literal(text: str, span: tuple[int, int]) -> Value:
-    return Value(Counter(text), len(text), text if len(text) <= SHORT else None, span, ())
+    counts = Counter(text)
+    return Value("".join(counts), array("d", (c / len(text) for c in counts.values())), len(text), text if len(text) <= SHORT else None, span, ())
 
 
 def joined(parts: list[Value]) -> Value:
     if len(parts) == 1:
         return parts[0]
-    counts: Counter = Counter()
-    for p in parts:
-        counts.update(p.counts)
-    size = sum(p.size for p in parts)
-    return Value(counts, size, "".join(p.text or "" for p in parts) if size <= SHORT else None, None, tuple(parts))
+    size = min(sum(p.size for p in parts), LONG)
+    total = sum(p.size for p in parts) or 1
+    first = parts[0]
+    if all(p.letters == first.letters for p in parts):
+        letters, shares = first.letters, first.shares
+        if any(p.shares is not shares for p in parts):
+            shares = array("d", (sum(p.shares[k] * (p.size / total) for p in parts) for k in range(len(letters))))
+    else:
+        mixed: dict[str, float] = {}
+        for p in parts:
+            for c, share in zip(p.letters, p.shares):
+                mixed[c] = mixed.get(c, 0.0) + share * (p.size / total)
+        letters, shares = "".join(mixed), array("d", mixed.values())
+        letters = first.letters if letters == first.letters else letters
+    return Value(letters, shares, size, "".join(p.text or "" for p in parts) if size <= SHORT else None, None, tuple(parts))
 
 
 def literal_score(value: Value, blanks: bool = False) -> float:
     """0 to 1: long, varied literals score high; placeholders score 0, and so do those
     with white space unless ``blanks`` are allowed."""
-    n = value.size
-    if n < 8 or (not blanks and any(c.isspace() for c in value.counts)) or (value.text is not None and _placeholder.search(value.text)):
+    if value.size < 8 or (not blanks and any(c.isspace() for c in value.letters)) or (value.text is not None and _placeholder.search(value.text)):
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in value.counts.values())
-    kinds = sum(any(f(c) for c in value.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value.counts)
+    entropy = -sum(p * math.log2(p) for p in value.shares if p > 0)
+    kinds = sum(any(f(c) for c in value.letters) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value.letters)
     return min(1.0, entropy / 3.5) * (1.0 if kinds >= 2 else 0.45)
 
 
