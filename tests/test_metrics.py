@@ -114,7 +114,7 @@ def test_registry():
             metrics.get_metric(bad)
     with pytest.raises(ValueError, match="no epsilon"):
         metrics.get_metric({"name": "MAE", "epsilon": 1})
-    with pytest.raises(ValueError, match="Duplicate"):
+    with pytest.raises(ValueError, match="each metric once"):
         metrics.get_metrics(["MASE", {"name": "mase", "epsilon": 1}])
     with pytest.raises(ValueError, match="quantile_levels"):
         metrics.get_metrics(["WQL"])

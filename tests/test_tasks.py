@@ -103,12 +103,12 @@ def test_summary_by_key_and_by_position(spark):
 @pytest.mark.parametrize(
     "break_it, message",
     [
-        (lambda p: p["x"][1].pop("0.9"), "missing columns"),
-        (lambda p: p.pop("y"), "Missing predictions"),
-        (lambda p: p["x"][2]["predictions"].pop(), "wrong length .* item 2"),
-        (lambda p: p["x"][1]["0.1"].pop(), "wrong length .*0.1.* item 1"),
-        (lambda p: p["y"][0]["0.9"].__setitem__(1, math.inf), "NaN or Inf.*'0.9' for target 'y' at item 0"),
-        (lambda p: p["y"][2]["predictions"].__setitem__(0, None), "NaN or Inf.*at item 2"),
+        (lambda p: p["x"][1].pop("0.9"), "lack"),
+        (lambda p: p.pop("y"), "No predictions of"),
+        (lambda p: p["x"][2]["predictions"].pop(), "Not 3 values .* item 2"),
+        (lambda p: p["x"][1]["0.1"].pop(), "Not 3 values .*0.1.* item 1"),
+        (lambda p: p["y"][0]["0.9"].__setitem__(1, math.inf), "finite.*'0.9' of target 'y', first at item 0"),
+        (lambda p: p["y"][2]["predictions"].__setitem__(0, None), "finite.*at item 2"),
         (lambda p: p["x"].pop(), "Expected predictions"),
     ],
 )

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, gmean, known, strict_avg
+from ..sources.shared import kept
 
 TASK_TYPES = {
     "dataset_path": "string", "dataset_config": "string", "horizon": "bigint", "initial_cutoff": "string", "min_context_length": "bigint", "max_context_length": "bigint", "seasonality": "bigint", "eval_metric": "string", "extra_metrics": "string", "quantile_levels": "string",
@@ -243,7 +244,7 @@ def number_tasks(scores: DataFrame, summaries: DataFrame, columns: Sequence[str]
 
 
 def _with_intervals(result: DataFrame, scores: DataFrame, summaries: DataFrame, columns, n_resamples, seed, alpha, pairs: bool, low=None, high=None) -> DataFrame:
-    placed = number_tasks(scores, summaries, columns).persist()
+    placed = kept(number_tasks(scores, summaries, columns), "placed")
     n = placed.select("task").distinct().count()
     weights = scores.sparkSession.createDataFrame([(resamples(n, n_resamples, seed),)], "w array<array<int>>")
     fights = duels(placed).join(placed.select("task", "task_ord").distinct(), "task")
@@ -282,7 +283,7 @@ def check_num_forecasts(summaries: DataFrame, columns: Sequence[str] = TASK_COLU
 def _raise_failures(scores: DataFrame) -> None:
     bad = {r["model_name"]: r["num_failures"] for r in failures(scores).filter("num_failures > 0").collect()}  # one row for each model
     if bad:
-        raise ValueError(f"Results are missing for the following models: {bad}")
+        raise ValueError(f"Some tasks have no result of these models (how many): {bad}")
 
 
 def leaderboard(
@@ -372,7 +373,7 @@ def pairwise_comparison(
         scores = impute_leakage(scores, leakage_imputation_model)
     if missing_strategy == "impute":
         if baseline_model is None:
-            raise ValueError("baseline_model is required when missing_strategy='impute'")
+            raise ValueError("Name the baseline_model whose results stand for missing ones")
         if baseline_model not in models:
             raise ValueError(f"The baseline {baseline_model!r} is missing; there are {models}")
         scores = handle_missing(scores, "impute", of_model("score", baseline_model))

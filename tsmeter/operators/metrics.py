@@ -45,7 +45,7 @@ class Metric:
         if not self.needs_quantiles:
             return [self.score(y, F.col("p"))]
         if not levels:
-            raise ValueError(f"Please provide quantile_levels for the quantile metric {self.name!r}")
+            raise ValueError(f"{self.name} needs quantile_levels")
         return [self.level_score(y, F.col(f"q_{i}"), level) for i, level in enumerate(levels)]
 
 
@@ -171,10 +171,10 @@ def get_metrics(metrics: Sequence[str | dict | Metric], levels: Sequence[float]
     names = [m.name for m in found]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
-        raise ValueError(f"Duplicate metric names found: {twice}. Give each metric once")
+        raise ValueError(f"Give each metric once, not several times: {twice}")
     for m in found:
         if m.needs_quantiles and not levels:
-            raise ValueError(f"Please provide quantile_levels when using the quantile metric {m.name!r}")
+            raise ValueError(f"{m.name} needs quantile_levels")
     return found
 
 

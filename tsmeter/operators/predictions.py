@@ -28,7 +28,7 @@ def normalise(spark: SparkSession, predictions, targets: Sequence[str], window_i
             for i, row in enumerate(part):
                 missing = sorted(set(names) - set(row))
                 if missing:
-                    raise ValueError(f"Predictions for {target!r} are missing columns {missing}. Expected: {sorted(names)}")
+                    raise ValueError(f"{target!r}: the predictions lack {missing}; they need {sorted(names)}")
             kind = T.StructType([T.StructField("item_ord", T.LongType()), *schema(levels).fields])
             for f in kind.fields:
                 f.nullable = True
@@ -38,7 +38,7 @@ def normalise(spark: SparkSession, predictions, targets: Sequence[str], window_i
             raise ValueError(f"Predictions must be a DataFrame, a list of dicts or a dict of those (got {type(part)})")
         missing = sorted(set(names) - set(part.columns))
         if missing:
-            raise ValueError(f"Predictions for {target!r} are missing columns {missing}. Expected: {sorted(names)}")
+            raise ValueError(f"{target!r}: the predictions lack {missing}; they need {sorted(names)}")
         if not {"id", "item_ord"} & set(part.columns):
             raise ValueError("A DataFrame of predictions needs an id or item_ord column")
         keys = [c for c in ("id", "item_ord") if c in part.columns]
@@ -48,12 +48,12 @@ def normalise(spark: SparkSession, predictions, targets: Sequence[str], window_i
         keys = [c for c in ("id", "item_ord") if c in predictions.columns]
         missing = sorted(set(names) - set(predictions.columns))
         if missing:
-            raise ValueError(f"Predictions are missing columns {missing}. Expected: {sorted(names)}")
+            raise ValueError(f"The predictions lack {missing}; they need {sorted(names)}")
         return predictions.select(F.lit(window_idx).alias("window_idx"), "target_name", *keys, *(F.col(f"`{n}`").cast("array<double>").alias(n) for n in names))
     parts = predictions if isinstance(predictions, dict) else {targets[0]: predictions}
     missing = sorted(set(targets) - set(parts))
     if missing:
-        raise ValueError(f"Missing predictions for columns {missing} (got {sorted(parts)})")
+        raise ValueError(f"No predictions of the targets {missing}, only of {sorted(parts)}")
     frames = [one(part, t) for t, part in parts.items()]
     out = frames[0]
     for f in frames[1:]:
@@ -80,13 +80,13 @@ def validate(predictions: DataFrame, targets: Sequence[str], horizon: int, level
     found = problems(predictions, horizon, levels, key).orderBy("window_idx", "target_name", "column").collect()  # windows x targets x levels rows
     missing = sorted(set(targets) - {r["target_name"] for r in found})
     if missing and found:
-        raise ValueError(f"Missing predictions for columns {missing}")
+        raise ValueError(f"No predictions of the targets {missing}")
     for r in found:
         if r["wrong_length"] is not None:
-            raise ValueError(f"Predictions for '{r['target_name']}' have wrong length in column '{r['column']}' at item {r['wrong_length']}: expected {horizon}")
+            raise ValueError(f"Not {horizon} values in column '{r['column']}' of target '{r['target_name']}', first at item {r['wrong_length']}")
     for r in found:
         if r["not_finite"] is not None:
-            raise ValueError(f"Predictions contain NaN or Inf values. First invalid value in column '{r['column']}' for target '{r['target_name']}' at item {r['not_finite']}.")
+            raise ValueError(f"Not every value is finite in column '{r['column']}' of target '{r['target_name']}', first at item {r['not_finite']}")
     return sum(r["n_rows"] for r in found if r["column"] == "predictions")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import kept
+
 
 def column_roles(df: DataFrame, id_column: str = "id", timestamp_column: str = "timestamp") -> tuple[list[str], list[str]]:
     """(dynamic, static): array columns and the others, without id and timestamp."""
@@ -75,11 +77,12 @@ def melt_targets(df: DataFrame, targets: Sequence[str] | str, id_column: str = "
 def ordered(df: DataFrame, id_column: str = "id") -> DataFrame:
     """Ids as strings, with ``item_ord``: the rank by id from 0 (byte order).
 
-    Uses a range sort and counts of its partitions, not one window over all rows.
+    Uses a range sort and counts of its partitions, not one window over all rows.  The sorted
+    rows are written to the shared folder, so this runs a job.
     """
     df = df.withColumn(id_column, F.col(id_column).cast("string"))
     parts = df.repartitionByRange(id_column).sortWithinPartitions(id_column).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    ranked = parts.persist()
+    ranked = kept(parts, "ordered")  # ranges and rows have to be those that were counted
     sizes = ranked.groupBy("_part").count()
     offsets = sizes.withColumn("_from", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_from")  # a row for each partition
     return ranked.join(F.broadcast(offsets), "_part").withColumn("item_ord", F.col("_row") + F.col("_from")).drop("_part", "_row", "_from")

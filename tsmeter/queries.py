@@ -565,7 +565,7 @@ MODELS = tuple(sorted(POINTS))
 
 def model_scores(spark, sf_dir) -> DataFrame:
     """Summaries: a task for each event type and window, scored by MASE for each baseline."""
-    w = daily_windows(spark, sf_dir).persist()
+    w = kept(daily_windows(spark, sf_dir), "windows")
     each = None
     for m in MODELS:
         s = metrics.scored_long(w, baselines.forecast(w, m, ["target"], H, S), ["target"], S).withColumn("model_name", F.lit(m))
@@ -580,7 +580,7 @@ def model_scores(spark, sf_dir) -> DataFrame:
         "num_forecasts": F.when(F.col("model_name") == "naive", None).otherwise(10 + F.length("id")), "engine_version": F.lit("1.0.0"), "model_name": F.col("model_name"),
     }
     out = found.select(*(values[c].cast(k).alias(c) for c, k in analytics.RESULT_TYPES.items()))
-    return out.coalesce(1).persist()  # models x tasks rows, which the analytics check and read several times
+    return kept(out.coalesce(1), "summaries")  # models x tasks rows, which the analytics check and read several times
 
 
 EACH = " UNION ALL ".join(f"SELECT '{m}' AS model, {i + 1} AS rk, window_idx, id, step, {POINTS[m]} AS p FROM steps" for i, m in enumerate(MODELS))
