@@ -348,6 +348,16 @@ def test_near_dedup_finds_what_brute_force_finds(spark, small):
     assert sorted(r.text for r in stages.drop_near_copies(spark, docs, small).collect()) == want
 
 
+def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypatch):
+    """Rows dealt otherwise, in another order, give the same scores."""
+    monkeypatch.setattr(lm_score, "SHARD", 8)
+    docs = documents.filter("doc_id < 120")
+    scores = [{r["doc_id"]: (r["score"], r["base_score"]) for r in lm_score.score(d, steps=60).collect()} for d in (docs.coalesce(1).orderBy("doc_id"), docs.repartition(7))]
+    assert scores[0].keys() == scores[1].keys()
+    for k, (a, base) in scores[0].items():
+        assert a == pytest.approx(scores[1][k][0], rel=1e-9) and base == pytest.approx(scores[1][k][1], rel=1e-12)
+
+
 def test_lexicon_has_the_terms_of_a_small_language(spark):
     made = [f"you are a gravelhead number {i}" for i in range(400)] + [f"eres un piedrolo numero {i}" for i in range(8)] + [f"a calm day at place {i}" for i in range(800)]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
