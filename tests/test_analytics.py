@@ -154,3 +154,20 @@ def test_paths_lists_and_any_statistic(spark, tmp_path):
     got = {r.model_name: (r.lower, r.upper) for r in analytics.bootstrap(values, ["model_name"], "score", lambda x: np.median(x, axis=1), 200, 5, 0.1).collect()}
     drawn = np.arange(1.0, 9.0)[np.random.default_rng(5).integers(0, 8, size=(200, 8))]
     assert got["b"] == (1.0, 1.0) and got["a"] == pytest.approx(tuple(np.quantile(np.median(drawn, axis=1), [0.05, 0.95])))
+
+
+def test_intervals_of_many_tasks(spark, monkeypatch):
+    """Blocks of draws are numpy's draws, whatever their size; nothing of resamples x tasks is kept."""
+    rng = np.random.default_rng(2)
+    v = {"a": rng.lognormal(size=700), "b": rng.lognormal(size=700), "zero": np.where(np.arange(700) == 5, 0.0, 2.0), "gap": np.where(np.arange(700) == 9, np.nan, 1.0)}
+    df = spark.createDataFrame([(m, k, None if np.isnan(x) else float(x)) for m, xs in v.items() for k, x in enumerate(xs)], "model_name string, task_ord long, score double")
+    draws = np.random.default_rng(7).integers(0, 700, size=(50, 700))
+    for cells in (1 << 22, 2000, 10):
+        monkeypatch.setattr(analytics, "CELLS", cells)
+        assert analytics.resamples(700, 50, 7) == [np.bincount(d, minlength=700).tolist() for d in draws]
+        for geometric in (False, True):
+            got = {r.model_name: (r.lower, r.upper) for r in analytics.intervals(df, ["model_name"], "score", 50, 7, 0.1, geometric).collect()}
+            for m in ("a", "b"):
+                stat = 1 - np.exp(np.log(v[m][draws]).mean(axis=1)) if geometric else v[m][draws].mean(axis=1)
+                assert got[m] == pytest.approx(np.quantile(stat, [0.05, 0.95]))
+            assert got["gap"] == (None, None) and (not geometric or got["zero"][1] == 1.0)

@@ -9,10 +9,11 @@ of what is asked for.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,36 +185,59 @@ def mean_ranks(scores: DataFrame) -> DataFrame:
 # -- intervals ----------------------------------------------------------------------------------
 
 
+#: Numbers of a block of counts, and of a block of values, in a task.
+CELLS = 1 << 22
+
+
 def resamples(n_tasks: int, n_resamples: int, seed: int) -> list[list[int]]:
     """How often each resample draws each task, by the task's position."""
-    index = np.random.default_rng(seed).integers(0, n_tasks, size=(n_resamples, n_tasks))
-    return [np.bincount(row, minlength=n_tasks).tolist() for row in index]
+    return [row.tolist() for block in drawn(n_tasks, n_resamples, seed) for row in block.astype(int)]
 
 
-def intervals(values: DataFrame, by: Sequence[str], value: str, weights: DataFrame, alpha: float, geometric: bool) -> DataFrame:
-    """``by``, lower, upper: percentiles of the weighted mean (or 1 - geometric mean).
+def drawn(n_tasks: int, n_resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """The counts of ``resamples``, some resamples at a time: a task makes them itself, since
+    running through the generator costs less than sending them."""
+    rng, step = np.random.default_rng(seed), max(1, CELLS // max(n_tasks, 1))
+    for at in range(0, n_resamples, step):
+        index = rng.integers(0, n_tasks, size=(min(step, n_resamples - at), n_tasks))
+        yield np.stack([np.bincount(row, minlength=n_tasks) for row in index]).astype(float)
 
-    ``values``: a row for each task_ord of each ``by``; ``weights``: one row with ``w``
-    (a list of weights by task for each resample).  The values of a ``by`` are one array
-    (as long as there are tasks), so nothing is exploded by resample.
-    """
-    per = values.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("task_ord", F.col(value).alias("v")))), lambda s: s["v"]).alias("v"))
-    both = per.join(F.broadcast(weights))  # one row
-    n = F.size("v")
-    if geometric:
-        logs = lambda w, v: F.when(w > 0, F.when(v > 0, w * F.ln(v)).otherwise(F.lit(float("-inf")))).otherwise(0.0)
-        stat = lambda w: 1 - F.exp(F.aggregate(F.zip_with(w, "v", logs), F.lit(0.0), lambda a, b: a + b) / n)
-    else:
-        stat = lambda w: F.aggregate(F.zip_with(w, "v", lambda x, v: x * v), F.lit(0.0), lambda a, b: a + b) / n
-    ordered = both.select(*by, F.sort_array(F.transform("w", stat)).alias("s"))
 
-    def quantile(level: float) -> Column:
-        at = (F.size("s") - 1) * F.lit(float(level))
-        low = F.floor(at).cast("int")
-        a, b = F.get("s", low), F.get("s", F.least(low + 1, F.size("s") - 1))
-        return a + (b - a) * (at - low)
+def intervals(values: DataFrame, by: Sequence[str], value: str, n_resamples: int, seed: int, alpha: float, geometric: bool) -> DataFrame:
+    """``by``, lower, upper: percentiles of the resampled mean (or 1 - geometric mean).
 
-    return ordered.select(*by, quantile(alpha / 2).alias("lower"), quantile(1 - alpha / 2).alias("upper"))
+    ``values``: a row for each task_ord of each ``by``, which all share the draws.  The values of
+    a ``by`` are one array (as long as there are tasks); a task multiplies blocks of draws with
+    blocks of arrays, so neither the driver nor a row ever holds resamples x tasks numbers.
+    Undefined (null) where a value is missing.
+    """
+    per = values.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("task_ord", F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("v"))
+    schema = ", ".join(f"`{c}` {per.schema[c].dataType.simpleString()}" for c in by) + ", lower double, upper double"
+
+    def bounds(v: np.ndarray) -> np.ndarray:
+        """v: arrays of equal length."""
+        n = v.shape[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.where(v > 0, np.log(v), np.where(v <= 0, 0.0, v)).T if geometric else v.T
+        none = (v <= 0).T.astype(float)
+        stats = []
+        for counts in drawn(n, n_resamples, seed):
+            means = counts @ x / n
+            stats.append(np.where(counts @ none > 0, 1.0, 1 - np.exp(means)) if geometric else means)
+        return np.quantile(np.concatenate(stats), [alpha / 2, 1 - alpha / 2], axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.array(v, float) for v in batch.column("v").to_pylist()]
+            out = np.full((2, len(rows)), np.nan)
+            for n in sorted({len(v) for v in rows}):
+                own = [i for i, v in enumerate(rows) if len(v) == n]
+                step = max(1, CELLS // n)
+                for at in range(0, len(own), step):
+                    out[:, own[at : at + step]] = bounds(np.stack([rows[i] for i in own[at : at + step]]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.array(x, mask=np.isnan(x)) for x in out)], names=[*by, "lower", "upper"])
+
+    return per.mapInArrow(run, schema)
 
 
 def bootstrap(values: DataFrame, by: Sequence[str], value: str, statistic: Callable[[np.ndarray], np.ndarray], n_resamples: int = 1000, seed: int = 123, alpha: float = 0.05) -> DataFrame:
@@ -245,18 +269,16 @@ def number_tasks(scores: DataFrame, summaries: DataFrame, columns: Sequence[str]
 
 def _with_intervals(result: DataFrame, scores: DataFrame, summaries: DataFrame, columns, n_resamples, seed, alpha, pairs: bool, low=None, high=None) -> DataFrame:
     placed = kept(number_tasks(scores, summaries, columns), "placed")
-    n = placed.select("task").distinct().count()
-    weights = scores.sparkSession.createDataFrame([(resamples(n, n_resamples, seed),)], "w array<array<int>>")
     fights = duels(placed).join(placed.select("task", "task_ord").distinct(), "task")
     if pairs:
         by = ["model_1", "model_2"]
         wins, ratios = fights, fights.withColumn("ratio", clip(F.col("ratio"), low, high))
-        skill = intervals(ratios, by, "ratio", weights, alpha, True)
+        skill = intervals(ratios, by, "ratio", n_resamples, seed, alpha, True)
     else:
         by = ["model_name"]
         wins = fights.filter("model_1 <> model_2").groupBy("task_ord", F.col("model_1").alias("model_name")).agg(F.avg("win").alias("win"))
-        skill = intervals(placed, by, "score", weights, alpha, True)
-    win = intervals(wins, by, "win", weights, alpha, False)
+        skill = intervals(placed, by, "score", n_resamples, seed, alpha, True)
+    win = intervals(wins, by, "win", n_resamples, seed, alpha, False)
     result = result.join(win.withColumnsRenamed({"lower": "win_rate_lower", "upper": "win_rate_upper"}), by, "left")
     return result.join(skill.withColumnsRenamed({"lower": "skill_score_lower", "upper": "skill_score_upper"}), by, "left")
 

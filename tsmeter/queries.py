@@ -877,8 +877,7 @@ INDEX = f"draws(d, w) AS (VALUES {', '.join(f'({i}, {list(x)})' for i, x in enum
 def bootstrap_interval(spark, sf_dir):
     s = model_scores(spark, sf_dir)
     placed = analytics.number_tasks(filled(spark, sf_dir), s, analytics.TASK_COLUMNS)
-    weights = spark.createDataFrame([(_counts,)], "w array<array<int>>")
-    out = analytics.intervals(placed, ["model_name"], "score", weights, 0.1, False)
+    out = analytics.intervals(placed, ["model_name"], "score", DRAWS, 123, 0.1, False)
     return out.select("model_name", r("lower", 5).alias("lower"), r("upper", 5).alias("upper"))
 
 
