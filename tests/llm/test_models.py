@@ -358,6 +358,23 @@ def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypa
         assert a == pytest.approx(scores[1][k][0], rel=1e-9) and base == pytest.approx(scores[1][k][1], rel=1e-12)
 
 
+def test_language_model_learns_from_every_training_token(spark, odd):
+    """Each id of each training text, and its end, is a next id in some window of some round."""
+    windows = lm_score.windows_of(odd)
+    held = Counter()
+    for number in range(lm_score.ROUNDS):
+        for r in lm_score.of_round(windows, number).collect():
+            ids = np.frombuffer(r["window"], "<u2").tolist()
+            assert len(ids) == lm_score.WINDOW + 1
+            held.update(zip(ids, ids[1:]))
+    want, end = Counter(), lm_score.END
+    for r in odd.select("doc_id", "text").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 10:
+            ids = [end, *lm_score.ids_of(lm_score.words_of(r.text or ""))[0].tolist(), end]
+            want.update(zip(ids, ids[1:]))
+    assert sum(want.values()) > 100_000 and all(held[x] >= n for x, n in want.items())
+
+
 def test_lexicon_has_the_terms_of_a_small_language(spark):
     made = [f"you are a gravelhead number {i}" for i in range(400)] + [f"eres un piedrolo numero {i}" for i in range(8)] + [f"a calm day at place {i}" for i in range(800)]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")

@@ -9,12 +9,12 @@ before them.  A word's probability is the product over its subwords, mixed with
 of the corpus.  Windows overlap, and each token is scored once, in the later half of its
 window (batched, masked).
 
-Learning.  All training rows give windows, one for each ``EVERY`` words.  The
-weights start from ``start_windows`` of them (a parameter); then ``ROUNDS`` rounds
-follow in which the windows are dealt into shards by their own hashes, each shard goes on from the
-common weights in the order of these hashes, and Spark averages what the shards changed.  So
-neither files nor partitions decide what is learned.  The share of windows that a round reads
-does not depend on the corpus's size, so what is learned from grows with it.
+Learning.  Windows cut the ids of every training row from end to end, so that each token of the
+corpus is learned from.  Only the starting point comes from ``start_windows`` of them (a parameter);
+then ``ROUNDS`` rounds follow, each with windows of its own, which together are all windows.  They
+are dealt into shards by their own hashes, each shard goes on from the common weights in the order
+of these hashes, and Spark averages what the shards changed.  So neither files nor partitions
+decide what is learned.
 
 Scale: word counts, class statistics and weight changes are summed by Spark's aggregates;
 the driver sees IDS rows of numbers, the starting windows and a histogram of word counts.
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, id_fold, shared_table
+from .common import _remove, id_and_text, id_fold, parts, shared_path, shared_table
 from .tokens import SPECIAL, byte_bpe, token_bytes
 
 TOP_WORDS = 1 << 17
@@ -45,11 +45,13 @@ IDS, END = 50257, SPECIAL["<|endoftext|>"]
 WIDTH, WINDOW, STRIDE = 32, 32, 16
 CLASSES, CLUSTERS = 256, 64  # all classes; those that hold several subwords
 STEPS, BATCH = 1500, 48
-EVERY, ROUNDS, SHARE = 128, 2, 8  # words for each window; rounds over all rows, each of one window in SHARE
-SHARD = 2048  # windows of a shard, about
+ROUNDS = 2  # each window is in one of them
+SHARD = 1 << 15  # windows of a shard, about
+EXACT = 2.0**30  # what is summed is rounded to its inverse, so that sums are the same in any order
 ATTENTION = 0.85  # the attention model's share of a word's probability
 #: Counts of a task are handed on when it holds so many different words.
 HELD = 500_000
+PART = 1 << 21  # bytes of text whose windows are held at once, about
 END_WORD = "\n"  # stands for the end token: no word holds a newline
 
 
@@ -87,7 +89,7 @@ def ids_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # -- the model ---------------------------------------------------------------------------------
 
 
-_before = np.random.default_rng(3).standard_normal((IDS, WIDTH)).astype(np.float32)
+_before = np.round(np.random.default_rng(3).standard_normal((IDS, WIDTH)) * 1024) / 1024  # sums are exact
 
 
 def classes_of(counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -100,7 +102,7 @@ def classes_of(counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
     alone = CLASSES - CLUSTERS
     out[order[:alone]] = np.arange(CLUSTERS, CLASSES)
     rest = order[alone:]
-    x = np.round(seen[rest], 6).astype(np.float32)  # whatever the order of the sums
+    x = seen[rest].astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
     centre = x[:CLUSTERS].copy()
     own = np.zeros(len(x), np.int64)
@@ -126,36 +128,49 @@ _causal = np.arange(WINDOW)[:, None] >= np.arange(WINDOW)[None, :]
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss and gradients for windows ``x`` of ids and their next classes ``y``, and
     the ids whose vectors the gradient of ``e`` holds."""
-    e = w["e"][x]
-    q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
+    n, flat_x = y.size, x.reshape(-1)
+    at = flat_x.argsort(kind="stable")
+    first = np.flatnonzero(np.diff(flat_x[at], prepend=-1))
+    ids = flat_x[at[first]]
+    e = w["e"][flat_x]
+    flat = lambda m: m.reshape(n, -1)
+    wide = lambda m: m.reshape(*x.shape, -1)
     scale = np.float32(1 / np.sqrt(WIDTH))
-    s = np.where(_causal, q @ k.transpose(0, 2, 1) * scale + w["d"][_far], np.float32(-1e9))
-    a = np.exp(s - s.max(-1, keepdims=True))
+    q, k, v = wide(e @ (w["q"] * scale)), wide(e @ w["k"]), wide(e @ w["v"])
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(_causal, w["d"][_far], np.float32(-1e9))
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    h = np.tanh(a @ v + e @ w["r"])
-    z = h @ w["o"] + w["b"]
-    z -= z.max(-1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(-1, keepdims=True)
-    n = y.size
-    loss = -float(np.log(np.take_along_axis(p, y[..., None], -1) + 1e-30).mean())
-    np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], -1) - 1, -1)
-    dz = p / np.float32(n)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"o": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
-    dt = (dz @ w["o"].T) * (1 - h * h)
-    g["r"] = flat(e).T @ flat(dt)
-    da = dt @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dt
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    g["d"] = np.bincount(_far[_causal], ds.sum(0)[_causal], minlength=WINDOW).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
+    h = flat(a @ v)
+    h += e @ w["r"]
+    np.tanh(h, out=h)
+    p = h @ w["o"]
+    p += w["b"]
+    if float((np.abs(w["o"]).sum(0) + np.abs(w["b"])).max()) >= 60:  # else exp can't overflow
+        p -= p.max(-1, keepdims=True)
+    own = np.arange(n), y.reshape(-1)
+    chosen = p[own]
+    np.exp(p, out=p)
+    sums = p @ np.ones(CLASSES, p.dtype)
+    loss = float((np.log(sums) - chosen).mean())
+    p *= (1 / (sums * np.float32(n)))[:, None]
+    p[own] -= np.float32(1 / n)
+    g = {"o": h.T @ p, "b": np.ones(n, p.dtype) @ p}
+    dt = (p @ w["o"].T) * (1 - h * h)
+    g["r"] = e.T @ dt
+    da = wide(dt) @ v.transpose(0, 2, 1)
+    dv = flat(a.transpose(0, 2, 1) @ wide(dt))
+    da -= (da * a).sum(-1, keepdims=True)
+    da *= a
+    g["d"] = np.bincount(_far[_causal], da.sum(0)[_causal], minlength=WINDOW).astype(np.float32)
+    dq, dk = flat(da @ k) * scale, flat(da.transpose(0, 2, 1) @ q)  # q has the scale
     for name, m in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(e).T @ flat(m)
-    de = dt @ w["r"].T + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-    ids, place = np.unique(x, return_inverse=True)
-    g["e"] = np.zeros((len(ids), WIDTH), de.dtype)
-    np.add.at(g["e"], place.reshape(-1), flat(de))
+        g[name] = e.T @ m
+    de = dt @ w["r"].T
+    for name, m in (("q", dq), ("k", dk), ("v", dv)):
+        de += m @ w[name].T
+    g["e"] = np.add.reduceat(de[at], first)
     return loss, g, ids
 
 
@@ -173,9 +188,11 @@ class Trainer:
         scale = np.float32(rate / (1 - 0.9**self.step)), np.float32(1 - 0.99**self.step)
         for n in self.w:
             at = ids if n == "e" else slice(None)
-            self.first[n][at] += 0.1 * (g[n] - self.first[n][at])
-            self.second[n][at] += 0.01 * (g[n] * g[n] - self.second[n][at])
-            self.w[n][at] -= scale[0] * self.first[n][at] / (np.sqrt(self.second[n][at] / scale[1]) + np.float32(1e-8))
+            first, second = self.first[n][at], self.second[n][at]
+            first += np.float32(0.1) * (g[n] - first)
+            second += np.float32(0.01) * (g[n] * g[n] - second)
+            self.first[n][at], self.second[n][at] = first, second
+            self.w[n][at] -= scale[0] * first / (np.sqrt(second / scale[1]) + np.float32(1e-8))
 
 
 def fit(windows: np.ndarray, of: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -239,7 +256,7 @@ class Scorer:
             target = y[np.minimum(rows, len(y) - 1)].reshape(-1)
             chosen = z[np.arange(len(z)), self.of[target]]
             np.exp(z, out=z)
-            logs = (chosen - np.log(z.sum(-1))) / np.log(10) + self.inside[target]
+            logs = (chosen - np.log(z @ np.ones(CLASSES, z.dtype))) / np.log(10) + self.inside[target]
             out[rows[valid]] = logs[valid.reshape(-1)]
         return out
 
@@ -295,27 +312,28 @@ def count_subwords(words: DataFrame) -> np.ndarray:
     return out
 
 
+def cut(ids: np.ndarray) -> np.ndarray:
+    """Windows of WINDOW + 1 ids that hold each id of a text and the end behind it as a next
+    id; the last window begins earlier, and a short text goes on from its start."""
+    own = np.concatenate(([END], ids, [END])).astype("<u2")
+    if len(own) <= WINDOW:
+        return np.resize(own, (1, WINDOW + 1))
+    at = np.append(np.arange(0, len(own) - 1 - WINDOW, WINDOW), len(own) - 1 - WINDOW)
+    return own[at[:, None] + np.arange(WINDOW + 1)]
+
+
 def windows_of(docs: DataFrame) -> DataFrame:
-    """window (WINDOW + 1 ids as binary) and draw (a random number that the text decides) from
-    every training row: one window for each EVERY words, the first at a place that the text's hash
-    decides."""
+    """window (WINDOW + 1 ids as binary) and draw (a random number that the window and its place
+    decide): all windows of every training row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)):
-                made, draws = [], []
-                for text in batch.column("text"):
-                    words = words_of(text.as_py())
-                    n = len(words) + 1  # with the end
-                    key = xxhash.xxh64_intdigest(b" ".join(words[:64]), n)
-                    for k in range(-(-n // EVERY)):
-                        at = min(key % EVERY + EVERY * k, max(n - WINDOW, 0))
-                        ids, _ = ids_of(words[max(at - 1, 0) : at + WINDOW])
-                        own = np.concatenate(([END] if at == 0 else [], ids, [END] if at + WINDOW >= n else []))[: WINDOW + 1]
-                        own = own if len(own) > WINDOW else np.resize(own, WINDOW + 1)  # a short text goes on from its start
-                        made.append(own.astype("<u2").tobytes())
-                        draws.append(xxhash.xxh64_intdigest(made[-1], k) >> 2)
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(draws, pa.int64())], names=["window", "draw"])
+            for batch in (x for held in (whole.slice(a, 256) for a in range(0, whole.num_rows, 256)) for x in parts(held, PART)):
+                made = [cut(ids_of(words_of(text.as_py()))[0]) for text in batch.column("text")]
+                rows = [x.tobytes() for x in np.concatenate(made)]
+                places = [k for x in made for k in range(len(x))]
+                draws = [xxhash.xxh64_intdigest(x, k) >> 2 for x, k in zip(rows, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(draws, pa.int64())], names=["window", "draw"])
 
     return id_and_text(docs).filter(id_fold(10) != 0).select("text").mapInArrow(run, "window binary, draw long")
 
@@ -347,11 +365,13 @@ def seen_before(windows: DataFrame) -> np.ndarray:
         seen = np.zeros((IDS, WIDTH))
         for batch in batches:
             if batch.num_rows:
-                x = _ids_of(batch)
-                then = x[:, 1:].reshape(-1)
-                order = np.argsort(then, kind="stable")
-                first = np.flatnonzero(np.diff(then[order], prepend=-1))
-                seen[then[order[first]]] += np.add.reduceat(_before[x[:, :-1].reshape(-1)[order]].astype(float), first)
+                x = _ids_of(batch).astype(np.uint32)
+                pairs = np.sort(((x[:, 1:] << 16) | x[:, :-1]).reshape(-1))
+                at = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
+                times = np.diff(at, append=len(pairs))
+                then = pairs[at] >> 16
+                first = np.flatnonzero(np.diff(then, prepend=~then[:1]))
+                seen[then[first]] += np.add.reduceat(_before[pairs[at] & 0xFFFF] * times[:, None], first)
         some = np.flatnonzero(seen.any(axis=1))
         yield _rows(some, seen[some])
 
@@ -364,6 +384,11 @@ def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
     return np.resize(np.concatenate((x, np.zeros(-len(x) % WIDTH, x.dtype))), (-(-len(x) // WIDTH), WIDTH))
 
 
+def of_round(windows: DataFrame, number: int) -> DataFrame:
+    """The windows that round ``number`` learns from; each window is in one round."""
+    return windows.filter(F.pmod("draw", F.lit(ROUNDS)) == number)
+
+
 def train_round(windows: DataFrame, w: dict[str, np.ndarray], of: np.ndarray, number: int, n_windows: int) -> dict[str, np.ndarray]:
     """``w`` after every shard has gone on from it with its own windows of this round: the
     mean of their changes (of a subword's vector: over the shards that moved it)."""
@@ -377,13 +402,12 @@ def train_round(windows: DataFrame, w: dict[str, np.ndarray], of: np.ndarray, nu
         for at in range(0, len(x), BATCH):
             trainer.learn(x[at : at + BATCH], 0.003 / (1 + number))
         moved = np.flatnonzero((trainer.w["e"] != start["e"]).any(axis=1))
-        changes = [_rows(moved, trainer.w["e"][moved] - start["e"][moved]), _rows(IDS + np.arange(n_flat), _flat(trainer.w) - _flat(start))]
-        return pa.Table.from_batches(changes)
+        changes = np.concatenate((trainer.w["e"][moved] - start["e"][moved], _flat(trainer.w) - _flat(start))).astype(float)
+        return pa.Table.from_batches([_rows(np.append(moved, IDS + np.arange(n_flat)), np.round(changes * EXACT) / EXACT)])
 
-    shards = max(1, round(n_windows / SHARE / SHARD))
-    own = windows.filter(F.pmod("draw", F.lit(SHARE)) == number).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)))
+    shards = max(1, round(n_windows / ROUNDS / SHARD))
+    own = of_round(windows, number).withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(shards)))
     change, n = _summed(own.groupBy("shard").applyInArrow(run, _ROWS), IDS + n_flat)
-    change = np.round(change, 9)
     change /= np.maximum(n, 1)[:, None]
     out, at = {}, 0
     rest = change[IDS:].reshape(-1)
@@ -424,7 +448,10 @@ def score(docs: DataFrame, start_windows: int = START_WINDOWS, top_words: int =
     top = frequent_words(counts, top_words)
 
     each = count_subwords(counts)
-    windows = shared_table(windows_of(docs), "lm-windows")
+    kept = shared_path(docs.sparkSession, "lm-windows")
+    windows = windows_of(docs)
+    windows.write.option("compression", "zstd").parquet(kept)
+    windows = docs.sparkSession.read.schema(windows.schema).parquet(kept)
     of = classes_of(each, seen_before(windows))
     n_windows = windows.count()
     chosen = windows.filter(F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) < int(min(1.0, 0.9 * start_windows / max(n_windows, 1)) * (1 << 30)))
@@ -433,6 +460,7 @@ def score(docs: DataFrame, start_windows: int = START_WINDOWS, top_words: int =
     if n_windows and steps:
         for number in range(ROUNDS):
             weights = train_round(windows, weights, of, number, n_windows)
+    _remove(docs.sparkSession, kept)
     smooth = each + 0.1
     inside = np.log10(smooth / np.bincount(of, smooth, minlength=CLASSES)[of])
     model = docs.sparkSession.sparkContext.broadcast((top, weights, of, inside))  # top_words words, IDS rows of WIDTH numbers
