@@ -348,6 +348,33 @@ def test_near_dedup_finds_what_brute_force_finds(spark, small):
     assert sorted(r.text for r in stages.drop_near_copies(spark, docs, small).collect()) == want
 
 
+def test_near_dedup_links_by_simhash_first(spark, small, monkeypatch):
+    """The trie self-join gives the fingerprints' links; those of texts that are not alike do not hold."""
+    from tsmeter.llm import simhash, stages
+
+    rng = np.random.default_rng(6)
+    made = []
+    for _ in range(20):
+        words = [f"w{x}" for x in rng.integers(0, 9000, 1500)]
+        made.append(" ".join(words))
+        for at in rng.integers(0, 1500, 3):
+            words[at] = "other"
+            made.append(" ".join(words))
+    made += [made[0].upper(), "", " ", *("ab" * k for k in range(1, 200))]
+    fps = [simhash.fingerprint(t, 5) for t in made]
+    want = {(i, j) for j in range(len(made)) for i in range(j) if (fps[i] ^ fps[j]).bit_count() <= similar.BUDGET}
+    marked = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in enumerate(fps)], "row long, fp long")
+    got = {(r["a"], r["b"]) for r in similar.fingerprint_links(marked).collect()}
+    up = lambda pairs: {r["node"]: r["component"] for r in similar.connected_components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert got <= want and up(got) == up(want) and sum(b < 80 for _, b in got) >= 30
+
+    budgets, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda c, budget, leaf_size=None: (budgets.append(budget), links(c, budget, leaf_size))[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in stages.drop_near_copies(spark, docs, small).collect())
+    assert budgets == [similar.BUDGET] and kept == [*range(0, 80, 4), 81, *range(83, len(made))]
+
+
 def test_language_model_does_not_depend_on_partitions(spark, documents, monkeypatch):
     """Rows dealt otherwise, in another order, give the same scores."""
     monkeypatch.setattr(lm_score, "SHARD", 8)

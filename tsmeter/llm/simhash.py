@@ -32,22 +32,31 @@ DIRECT = 64
 FRONT = 1 << 13
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """64 bits: those set in over half of the XXH64 hashes (seed 42) of all shingles."""
+def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of all shingles, repeats included; none for a text without words."""
     w = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(w) - words + 1)
     starts, ends = starts[:n].tolist(), (ends[words - 1 :] if len(w) >= words else ends[-1:]).tolist()
     hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def majority(hashed: np.ndarray) -> int:
+    """64 bits: those set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        h = np.array([hashed(joined[a:b], 42) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK])], dtype=">u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n).view(">u8")[0])
+    for at in range(0, len(hashed), BLOCK):
+        votes += np.unpackbits(hashed[at : at + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashed)).view(">u8")[0])
+
+
+def fingerprint(text: str, words: int = 3) -> int:
+    """The bits set in over half of the hashes of all shingles."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:

@@ -1,8 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash links by the trie self-join, verified; what SimHash can't see by an exact join.
 
-Candidates share a bucket: a band of minima of seeded permutations of their shingle
+SimHash comes first.  The rows' fingerprints (of the same word shingles) are joined with each other
+through their binary trie (``simhash.links``, ``BUDGET`` bits), and a link holds if the rows'
+sets of shingles have a Jaccard similarity of 0.8 or more.  Fingerprints with many links are compared with
+their smallest neighbour, then along the links that this leaves between different components.
+
+A pair at 0.8 often differs in more bits than a trie can bear, so the rows that SimHash leaves apart
+meet again.  Candidates share a bucket: a band of minima of seeded permutations of their shingle
 hashes.  A pair at 0.8 misses all 16 bands of six with probability 0.008.  The rows of a bucket are
-compared with its smallest row, and those that this leaves outside the bucket's largest
+compared with its smallest row (unless SimHash has linked them), and those that this leaves outside the bucket's largest
 component with some rows of that one (``PIVOTS``), which settles most groups of copies cheaply.
 Where a bucket's rows are still in more than one
 component, they are *open*, and all pairs of open rows of different components that reach the
@@ -30,8 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import connected_components, shared_table
 
+BUDGET = 2  # bits by which linked fingerprints differ at most
+TRIE_LEAVES = 16
 BANDS, MINIMA = 16, 6
 BLOCK = 1 << 12  # shingles whose permutations are held at once
 #: Counters that order the shingles, and parts in which tasks' counters are added up.
@@ -52,7 +61,11 @@ def shingles(text: str, words: int = 5) -> set[bytes]:
 
 def hashes(text: str, words: int = 5) -> np.ndarray:
     """The distinct shingles' 64-bit hashes, sorted."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64))
+    return _distinct(simhash.shingle_hashes(text, words))
+
+
+def _distinct(hashed: np.ndarray) -> np.ndarray:
+    return np.unique(hashed) if len(hashed) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def buckets(hashed: np.ndarray) -> list[int]:
@@ -171,6 +184,23 @@ def _with_pivots(opened: DataFrame) -> DataFrame:
     return pairs.select(F.least("row", "pivot").alias("a"), F.greatest("row", "pivot").alias("b"))
 
 
+def fingerprint_links(marked: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of rows by SimHash: each row with the first of its fingerprint, and the
+    first rows of fingerprints that differ in at most ``BUDGET`` bits.  ``marked``: row, fp."""
+    classes = shared_table(marked.groupBy("fp").agg(F.min("row").alias("id"), F.count(F.lit(1)).alias("n")), "similar-fingerprints")
+    leaf_size = int(np.clip(classes.count() // TRIE_LEAVES, *simhash.LEAF))
+    near = simhash.links(classes.select("fp", "id"), BUDGET, leaf_size)
+    same = marked.join(classes.filter("n > 1").select("fp", "id"), "fp").filter("row <> id").select(F.col("id").alias("a"), F.col("row").alias("b"))
+    return shared_table(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(same), "similar-near")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Those pairs whose rows are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
+    return pairs.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+
 def components(texts: DataFrame, words: int = 5) -> DataFrame:
     """node, component (the smallest row reached) of every row that has a near copy.
 
@@ -181,17 +211,28 @@ def components(texts: DataFrame, words: int = 5) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([buckets(hashes(t.as_py(), words)) for t in batch.column("text")], pa.list_(pa.int64()))], names=["row", "buckets"])
+            fps, dealt = [], []
+            for t in batch.column("text"):
+                own = simhash.shingle_hashes(t.as_py(), words)
+                fps.append(simhash.majority(own))
+                dealt.append(buckets(_distinct(own)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(dealt, pa.list_(pa.int64()))], names=["row", "fp", "buckets"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([hashes(t.as_py(), words).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))], names=["row", "shingles"])
 
-    dealt = shared_table(texts.mapInArrow(deal, "row long, buckets array<long>").select("row", F.explode("buckets").alias("bucket")), "similar-buckets")
+    marked = shared_table(texts.mapInArrow(deal, "row long, fp long, buckets array<long>"), "similar-buckets")
+    dealt = marked.select("row", F.explode("buckets").alias("bucket"))
     common = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low")).filter("n > 1").drop("n")
     members = shared_table(dealt.join(common, "bucket"), "similar-members")
-    sets = shared_table(texts.join(members.select("row").distinct(), "row", "left_semi").mapInArrow(hashed, "row long, shingles array<long>"), "similar-sets")
-    links = verified(members.filter("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")), sets)
+    near = fingerprint_links(marked.select("row", "fp"))
+    some = members.select("row").union(near.select("a")).union(near.select("b")).distinct()
+    sets = shared_table(texts.join(some, "row", "left_semi").mapInArrow(hashed, "row long, shingles array<long>"), "similar-sets")
+    links = verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+    found = connected_components(links, "similar-components")
+    links = links.union(verified(_apart(near, found), sets))
+    links = links.union(verified(_apart(members.filter("row <> low").select(F.col("low").alias("a"), F.col("row").alias("b")), found), sets))
     found = connected_components(links, "similar-components")
     opened = shared_table(_opened(members, found), "similar-open-buckets")
     links = shared_table(links.union(verified(_with_pivots(opened), sets)), "similar-links")
