@@ -402,6 +402,23 @@ def test_language_model_learns_from_every_training_token(spark, odd):
     assert sum(want.values()) > 100_000 and all(held[x] >= n for x, n in want.items())
 
 
+def test_copies_of_a_window_are_reckoned_once_and_count_each():
+    """Counts of windows give the gradients of repeated windows, and a shard forms each different window once a batch."""
+    rng = np.random.default_rng(4)
+    w = {n: x.astype(np.float64) for n, x in lm_score.start_weights(rng).items()}
+    x, y = rng.integers(0, 40, (3, lm_score.WINDOW)), rng.integers(0, lm_score.CLASSES, (3, lm_score.WINDOW))
+    times = np.array([1, 5, 2])
+    loss, g, ids = lm_score.gradients(w, x, y, times)
+    want, each, same = lm_score.gradients(w, x.repeat(times, axis=0), y.repeat(times, axis=0))
+    assert loss == pytest.approx(want) and ids.tolist() == same.tolist() and all(np.allclose(g[n], each[n], rtol=1e-5, atol=1e-9) for n in w)
+    rows_ = rng.integers(0, 40, (4, lm_score.WINDOW + 1))
+    windows = np.repeat(rows_, [100, 1, 1, 60], axis=0)
+    got = list(lm_score.batches_of(windows))
+    assert [int(t.sum()) for _, t in got] == [lm_score.BATCH] * 3 + [162 - 3 * lm_score.BATCH]
+    assert [len(b) for b, _ in got] == [1, 1, 4, 1]
+    assert np.array_equal(np.concatenate([b.repeat(t, axis=0) for b, t in got]), windows)
+
+
 def test_lexicon_has_the_terms_of_a_small_language(spark):
     made = [f"you are a gravelhead number {i}" for i in range(400)] + [f"eres un piedrolo numero {i}" for i in range(8)] + [f"a calm day at place {i}" for i in range(800)]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")

@@ -125,9 +125,12 @@ _far = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDO
 _causal = np.arange(WINDOW)[:, None] >= np.arange(WINDOW)[None, :]
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss and gradients for windows ``x`` of ids and their next classes ``y``, and
-    the ids whose vectors the gradient of ``e`` holds."""
+    the ids whose vectors the gradient of ``e`` holds.
+
+    times: how often each window counts (once, if not given), as if it stood there as often.
+    """
     n, flat_x = y.size, x.reshape(-1)
     at = flat_x.argsort(kind="stable")
     first = np.flatnonzero(np.diff(flat_x[at], prepend=-1))
@@ -153,9 +156,10 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
     chosen = p[own]
     np.exp(p, out=p)
     sums = p @ np.ones(CLASSES, p.dtype)
-    loss = float((np.log(sums) - chosen).mean())
-    p *= (1 / (sums * np.float32(n)))[:, None]
-    p[own] -= np.float32(1 / n)
+    share = np.full(n, 1 / n, p.dtype) if times is None else np.repeat((times / (times.sum() * x.shape[1])).astype(p.dtype), x.shape[1])
+    loss = float((np.log(sums) - chosen) @ share)
+    p *= (share / sums)[:, None]
+    p[own] -= share
     g = {"o": h.T @ p, "b": np.ones(n, p.dtype) @ p}
     dt = (p @ w["o"].T) * (1 - h * h)
     g["r"] = e.T @ dt
@@ -181,10 +185,10 @@ class Trainer:
         self.w, self.of, self.step = w, of, 0
         self.first, self.second = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
 
-    def learn(self, windows: np.ndarray, rate: float) -> None:
-        """windows: rows of WINDOW + 1 ids."""
+    def learn(self, windows: np.ndarray, rate: float, times: np.ndarray | None = None) -> None:
+        """windows: rows of WINDOW + 1 ids; times: how often each counts."""
         self.step += 1
-        _, g, ids = gradients(self.w, windows[:, :-1], self.of[windows[:, 1:]])
+        _, g, ids = gradients(self.w, windows[:, :-1], self.of[windows[:, 1:]], times)
         scale = np.float32(rate / (1 - 0.9**self.step)), np.float32(1 - 0.99**self.step)
         for n in self.w:
             at = ids if n == "e" else slice(None)
@@ -389,6 +393,17 @@ def of_round(windows: DataFrame, number: int) -> DataFrame:
     return windows.filter(F.pmod("draw", F.lit(ROUNDS)) == number)
 
 
+def batches_of(windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each BATCH windows in turn: the different ones, and how often each stands there (copies
+    stand together, so they are reckoned once and count as often)."""
+    new = np.append(True, (windows[1:] != windows[:-1]).any(axis=1))
+    for at in range(0, len(windows), BATCH):
+        own = new[at : at + BATCH].copy()
+        own[0] = True
+        first = np.flatnonzero(own)
+        yield windows[at + first], np.diff(first, append=len(own))
+
+
 def train_round(windows: DataFrame, w: dict[str, np.ndarray], of: np.ndarray, number: int, n_windows: int) -> dict[str, np.ndarray]:
     """``w`` after every shard has gone on from it with its own windows of this round: the
     mean of their changes (of a subword's vector: over the shards that moved it)."""
@@ -399,8 +414,8 @@ def train_round(windows: DataFrame, w: dict[str, np.ndarray], of: np.ndarray, nu
         start, of = common.value
         trainer = Trainer({n: x.copy() for n, x in start.items()}, of)
         x = _ids_of(group.sort_by([("draw", "ascending"), ("window", "ascending")]))
-        for at in range(0, len(x), BATCH):
-            trainer.learn(x[at : at + BATCH], 0.003 / (1 + number))
+        for own, times in batches_of(x):
+            trainer.learn(own, 0.003 / (1 + number), times)
         moved = np.flatnonzero((trainer.w["e"] != start["e"]).any(axis=1))
         changes = np.concatenate((trainer.w["e"][moved] - start["e"][moved], _flat(trainer.w) - _flat(start))).astype(float)
         return pa.Table.from_batches([_rows(np.append(moved, IDS + np.arange(n_flat)), np.round(changes * EXACT) / EXACT)])
@@ -493,15 +508,13 @@ def score(docs: DataFrame, start_windows: int = START_WINDOWS, top_words: int =
                 with np.errstate(divide="ignore"):
                     mixed = np.where(is_rare, 0.0, np.logaddexp((logs + own) * np.log(10), np.log(share * (1 - ATTENTION))) / np.log(10))
                 base = np.where(is_rare, 0.0, np.log10(np.maximum(held, 0) + 0.1) - norm)
-                rare, lone = np.flatnonzero(is_rare), []
+                rare = np.flatnonzero(is_rare)
                 doc_of = np.searchsorted(first, rare, side="right") - 1
                 ends = np.searchsorted(doc_of, np.arange(len(texts) + 1))
-                rare_words = [texts[d][i].decode("utf-8", "replace") for d, i in zip(doc_of.tolist(), (rare - first[doc_of]).tolist())]
-                rare_logs = logs[rare].tolist()
-                for a, b in zip(ends, ends[1:]):
-                    lone.append([{"word": w, "log": x} for w, x in zip(rare_words[a:b], rare_logs[a:b])])
+                rare_words = pa.array([texts[d][i].decode("utf-8", "replace") for d, i in zip(doc_of.tolist(), (rare - first[doc_of]).tolist())], pa.string())
+                lone = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([rare_words, pa.array(logs[rare])], names=["word", "log"]))
                 names = ["row", "doc_id", "n_tokens", "top_known", "top_score", "rare", "top_log"]
-                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(sizes), pa.array(np.add.reduceat(held > 0, first).astype(np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(lone, pa.list_(pa.struct([("word", pa.string()), ("log", pa.float64())]))), pa.array(np.add.reduceat(mixed, first))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(sizes), pa.array(np.add.reduceat(held > 0, first).astype(np.int64)), pa.array(np.add.reduceat(base, first)), lone, pa.array(np.add.reduceat(mixed, first))], names=names)
                 row += batch.num_rows
 
     scored = shared_table(id_and_text(docs).mapInArrow(run, "row long, doc_id long, n_tokens long, top_known long, top_score double, rare array<struct<word: string, log: double>>, top_log double"), "lm-scored")
