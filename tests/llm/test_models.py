@@ -100,6 +100,17 @@ def test_texts_that_hold_the_space_mark_come_back(spark):
     assert sp_sampling.encode_samples(docs.limit(0)).count() == 0
 
 
+def test_units_are_words_with_the_spaces_before_them(pieces):
+    """The short way for single spaces and the pattern for others cut alike; a text without words has one segmentation."""
+    for text in ["", " ", "  ", "a", "a b", " a b", "a b ", "a  b c", "\u2581 a\u2581b", "x\ny \t z", "日本 語"]:
+        marked = "\u2581" + text.replace("\u2581", sp_sampling.OWN_SPACE).replace(" ", "\u2581") if text else ""
+        assert sp_sampling.units_of(text) == re.findall("\u2581*[^\u2581]+|\u2581+", marked)
+    assert [len(found) for found, _ in sp_sampling.sample_batch(["", ""], sp_sampling.row_seeds([1, 2], 5), 3, pieces)] == [1, 1]
+    plain, raw = sp_sampling.Walk(["\u2581ab"], pieces), sp_sampling.Walk(["\u2581a\U0001f9ff"], pieces)  # no character, and one, that becomes bytes
+    assert pieces.decode(plain.path_ids(plain.run(plain.first, np.array([3], np.uint64), np.zeros(1, np.int64))[1])) == "ab"
+    assert pieces.decode(raw.path_ids(raw.run(raw.first, np.array([3], np.uint64), np.zeros(1, np.int64))[1])) == "a\U0001f9ff"
+
+
 def test_samples_do_not_depend_on_partitions(odd):
     key = lambda df: sorted((r["doc_id"], r["sample"], r["ids_crc32"], r["perturbed"]) for r in rows(df))
     assert key(sp_sampling.encode_samples(odd.repartition(7))) == key(sp_sampling.encode_samples(odd.coalesce(1)))

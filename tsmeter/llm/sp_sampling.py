@@ -22,7 +22,9 @@ import functools
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +51,14 @@ _units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _u = np.uint64
 
 
+def units_of(text: str) -> list[str]:
+    """The words of a text with the spaces before them, its first space included; spaces at the end are one."""
+    text = text.replace(SPACE, OWN_SPACE)
+    if not text or "  " in text or text[0] == " " or text[-1] == " ":
+        return _units.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _u(30))) * _u(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _u(27))) * _u(0x94D049BB133111EB)
@@ -139,7 +149,7 @@ class Walk:
     """
 
     def __init__(self, words: list[str], pieces: Pieces):
-        lengths = np.array([len(w) for w in words], np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         self.first = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]  # state of a word's start
         n_states = int((lengths + 1).sum())
         char = np.zeros(n_states, np.int64)  # the character after each state; 0 at ends
@@ -188,8 +198,9 @@ class Walk:
         for lo, hi in zip(bounds, bounds[1:]):
             own = by_left[lo:hi]
             if len(own):
-                heads = np.flatnonzero(np.diff(self.source[own], prepend=-1))
-                behind[self.source[own[heads]]] = np.logaddexp.reduceat(weight[own] + behind[self.target[own]], heads)
+                of = self.source[own]
+                heads = np.append(0, np.flatnonzero(of[1:] != of[:-1]) + 1)
+                behind[of[heads]] = np.logaddexp.reduceat(weight[own] + behind[self.target[own]], heads)
         self.logp = np.minimum(weight + behind[self.target] - behind[self.source], 0.0)
         total = np.cumsum(np.exp(self.logp))
         base = np.concatenate(([0.0], total))[self.edge[self.source]]
@@ -201,8 +212,7 @@ class Walk:
         unknown = np.flatnonzero(piece < 0)
         self.n_ids[unknown] = [len(many[x]) for x in piece[unknown].tolist()]
         self.id_at = np.cumsum(self.n_ids) - self.n_ids
-        self.ids = np.zeros(int(self.n_ids.sum()), np.int32)
-        self.ids[self.id_at[piece >= 0]] = piece[piece >= 0]
+        self.ids = np.repeat(piece.astype(np.int32), self.n_ids)
         for e in unknown.tolist():
             self.ids[self.id_at[e] : self.id_at[e] + self.n_ids[e]] = [pieces.byte_ids[b] for b in many[int(piece[e])]]
 
@@ -241,6 +251,8 @@ class Walk:
 
     def path_ids(self, edges: np.ndarray) -> np.ndarray:
         n = self.n_ids[edges]
+        if len(n) == n.sum():  # no character stands as several bytes
+            return self.ids[self.id_at[edges]]
         return self.ids[np.repeat(self.id_at[edges] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
@@ -269,14 +281,10 @@ class Path:
 def sample_batch(texts: list[str], seeds: np.ndarray, k: int, pieces: Pieces) -> list[tuple[list[tuple[np.ndarray, float, float]], float]]:
     """For each text: up to k (ids, log-probability, perturbed value), best first, and
     the best perturbed value that was left."""
-    units = [_units.findall(SPACE + t.replace(SPACE, OWN_SPACE).replace(" ", SPACE)) if t else [] for t in texts]
+    units = [units_of(t) for t in texts]
     sizes = np.array([len(u) for u in units], np.int64)
-    index: dict[str, int] = {}
-    for u in units:
-        index.update(dict.fromkeys(u, 0))
-    for i, w in enumerate(index):
-        index[w] = i
-    occurrence = np.fromiter((i for u in units for i in map(index.__getitem__, u)), np.int64, int(sizes.sum()))
+    index: defaultdict[str, int] = defaultdict(count().__next__)  # words are numbered as they come
+    occurrence = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64, int(sizes.sum()))
     walk = Walk(list(index), pieces)
     begin = np.cumsum(sizes) - sizes
     start = walk.first[occurrence] if len(occurrence) else occurrence
