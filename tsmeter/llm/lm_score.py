@@ -45,6 +45,8 @@ IDS, END = 50257, SPECIAL["<|endoftext|>"]
 WIDTH, WINDOW, STRIDE = 32, 32, 16
 CLASSES, CLUSTERS = 256, 64  # all classes; those that hold several subwords
 STEPS, BATCH = 1500, 48
+ROWS = 384  # rows of class probabilities at once: they fit a core's cache
+EVEN = 3  # strides in multiples of so many give products whose rows are rounded alike at every place
 ROUNDS = 2  # each window is in one of them
 SHARD = 1 << 15  # windows of a shard, about
 EXACT = 2.0**30  # what is summed is rounded to its inverse, so that sums are the same in any order
@@ -125,78 +127,118 @@ _far = np.clip(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0, WINDO
 _causal = np.arange(WINDOW)[:, None] >= np.arange(WINDOW)[None, :]
 
 
+def _projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The four projections side by side, the queries' with its scale: one product gives all."""
+    return np.concatenate((w["q"] * w["q"].dtype.type(1 / np.sqrt(WIDTH)), w["k"], w["v"], w["r"]), axis=1)
+
+
+def _longest(m: np.ndarray) -> float:
+    return float(np.sqrt(np.einsum("ij,ij->i", m, m).max()))
+
+
+def _factors(w: dict[str, np.ndarray]) -> tuple[bool, np.ndarray, np.ndarray]:
+    """Whether exp of the classes' logits can't overflow; if so, factors exp(b) that go with the
+    classes instead of a sum over every logit, and their logarithms (else 1 and 0)."""
+    small = float((np.abs(w["o"]).sum(0) + np.abs(w["b"])).max()) < 60 and float(np.abs(w["b"]).max()) < 20
+    logs = w["b"] if small else np.zeros_like(w["b"])
+    return small, np.exp(logs), logs
+
+
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, times: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss and gradients for windows ``x`` of ids and their next classes ``y``, and
     the ids whose vectors the gradient of ``e`` holds.
 
     times: how often each window counts (once, if not given), as if it stood there as often.
+    Classes are reckoned in blocks of rows that fit the cache, and scaled by row and class
+    only where a product has made them small.
     """
-    n, flat_x = y.size, x.reshape(-1)
-    at = flat_x.argsort(kind="stable")
-    first = np.flatnonzero(np.diff(flat_x[at], prepend=-1))
-    ids = flat_x[at[first]]
-    e = w["e"][flat_x]
-    flat = lambda m: m.reshape(n, -1)
+    n, flat_x, flat_y = y.size, x.reshape(-1), y.reshape(-1)
+    at = flat_x.astype(np.uint16).argsort(kind="stable")
+    ordered = flat_x.take(at)
+    first = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+    e = w["e"].take(flat_x, axis=0)
     wide = lambda m: m.reshape(*x.shape, -1)
-    scale = np.float32(1 / np.sqrt(WIDTH))
-    q, k, v = wide(e @ (w["q"] * scale)), wide(e @ w["k"]), wide(e @ w["v"])
+    every = _projections(w)
+    m = e @ every
+    q, k, v, r = (m[:, i : i + WIDTH] for i in range(0, 4 * WIDTH, WIDTH))
+    far = _longest(q) * _longest(k) + float(np.abs(w["d"]).max()) >= 60  # else exp can't overflow
+    q, k, v = wide(q), wide(k), wide(v)
     a = q @ k.transpose(0, 2, 1)
-    a += np.where(_causal, w["d"][_far], np.float32(-1e9))
-    a -= a.max(-1, keepdims=True)
+    a += np.where(_causal, w["d"][_far], e.dtype.type(-1e9))
+    if far:
+        a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    h = flat(a @ v)
-    h += e @ w["r"]
+    a /= wide(a.reshape(n, -1) @ np.ones(WINDOW, e.dtype))
+    h = (a @ v).reshape(n, -1)
+    h += r
     np.tanh(h, out=h)
-    p = h @ w["o"]
-    p += w["b"]
-    if float((np.abs(w["o"]).sum(0) + np.abs(w["b"])).max()) >= 60:  # else exp can't overflow
-        p -= p.max(-1, keepdims=True)
-    own = np.arange(n), y.reshape(-1)
-    chosen = p[own]
-    np.exp(p, out=p)
-    sums = p @ np.ones(CLASSES, p.dtype)
-    share = np.full(n, 1 / n, p.dtype) if times is None else np.repeat((times / (times.sum() * x.shape[1])).astype(p.dtype), x.shape[1])
-    loss = float((np.log(sums) - chosen) @ share)
-    p *= (share / sums)[:, None]
-    p[own] -= share
-    g = {"o": h.T @ p, "b": np.ones(n, p.dtype) @ p}
-    dt = (p @ w["o"].T) * (1 - h * h)
-    g["r"] = e.T @ dt
-    da = wide(dt) @ v.transpose(0, 2, 1)
-    dv = flat(a.transpose(0, 2, 1) @ wide(dt))
-    da -= (da * a).sum(-1, keepdims=True)
+    share = np.full(n, 1 / n, e.dtype) if times is None else np.repeat((times / (times.sum() * x.shape[1])).astype(e.dtype), x.shape[1])
+    small, factor, log_factor = _factors(w)
+    back = np.ascontiguousarray(w["o"].T) * factor[:, None]
+    loss, go, gb, dt = 0.0, np.zeros((CLASSES, WIDTH), e.dtype), np.zeros(CLASSES, e.dtype), np.empty_like(h)
+    held = np.empty((ROWS, CLASSES), e.dtype)
+    for lo in range(0, n, ROWS):
+        own_h, own_y, own_share = h[lo : lo + ROWS], flat_y[lo : lo + ROWS], share[lo : lo + ROWS]
+        p = np.matmul(own_h, w["o"], out=held[: len(own_h)])
+        if not small:
+            p += w["b"]
+            p -= p.max(-1, keepdims=True)
+        own = np.arange(len(p)), own_y
+        chosen = p[own]
+        np.exp(p, out=p)
+        sums = p @ factor
+        loss += float((np.log(sums) - chosen - log_factor.take(own_y)) @ own_share)
+        p[own] = np.exp(chosen) - sums / factor.take(own_y)
+        part = own_share / sums
+        np.matmul(p, back, out=dt[lo : lo + ROWS])
+        dt[lo : lo + ROWS] *= part[:, None]
+        go += p.T @ (own_h * part[:, None])
+        gb += part @ p
+    g = {"o": (go * factor[:, None]).T, "b": gb * factor}
+    h *= h
+    np.subtract(1, h, out=h)
+    dm = np.empty_like(m)
+    dq, dk, dv, dr = (wide(dm)[:, :, i : i + WIDTH] for i in range(0, 4 * WIDTH, WIDTH))
+    np.multiply(dt, h, out=dm[:, 3 * WIDTH :])
+    da = dr @ v.transpose(0, 2, 1)
+    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
     da *= a
-    g["d"] = np.bincount(_far[_causal], da.sum(0)[_causal], minlength=WINDOW).astype(np.float32)
-    dq, dk = flat(da @ k) * scale, flat(da.transpose(0, 2, 1) @ q)  # q has the scale
-    for name, m in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = e.T @ m
-    de = dt @ w["r"].T
-    for name, m in (("q", dq), ("k", dk), ("v", dv)):
-        de += m @ w[name].T
-    g["e"] = np.add.reduceat(de[at], first)
-    return loss, g, ids
+    g["d"] = np.bincount(_far[_causal], da.sum(0)[_causal], minlength=WINDOW).astype(e.dtype)
+    np.matmul(da, k, out=dq)
+    np.matmul(da.transpose(0, 2, 1), q, out=dk)  # q has the scale
+    np.matmul(a.transpose(0, 2, 1), dr, out=dv)
+    own = dm.T @ e
+    for i, name in enumerate("qkvr"):
+        g[name] = own[i * WIDTH : (i + 1) * WIDTH].T
+    g["q"] = g["q"] * e.dtype.type(1 / np.sqrt(WIDTH))
+    g["e"] = np.add.reduceat((dm @ every.T).take(at, axis=0), first)
+    return loss, g, ordered[first]
 
 
 class Trainer:
     """Adam over batches of windows; of the subword vectors only those in the batch move."""
 
     def __init__(self, w: dict[str, np.ndarray], of: np.ndarray):
-        self.w, self.of, self.step = w, of, 0
-        self.first, self.second = ({n: np.zeros_like(x) for n, x in w.items()} for _ in range(2))
+        """The vectors ``w["e"]`` move in place, the other weights in a copy (``self.w``)."""
+        self.of, self.step = of, 0
+        self.rest = [n for n in sorted(w) if n != "e"]
+        flat = np.concatenate([w[n].reshape(-1) for n in self.rest])
+        ends = np.cumsum([w[n].size for n in self.rest])[:-1]
+        self.w = {"e": w["e"], **{n: x.reshape(w[n].shape) for n, x in zip(self.rest, np.split(flat, ends))}}  # views
+        self.moved = [(x, np.zeros_like(x), np.zeros_like(x)) for x in (w["e"], flat)]
 
     def learn(self, windows: np.ndarray, rate: float, times: np.ndarray | None = None) -> None:
         """windows: rows of WINDOW + 1 ids; times: how often each counts."""
         self.step += 1
-        _, g, ids = gradients(self.w, windows[:, :-1], self.of[windows[:, 1:]], times)
+        _, g, ids = gradients(self.w, windows[:, :-1], self.of.take(windows[:, 1:]), times)
         scale = np.float32(rate / (1 - 0.9**self.step)), np.float32(1 - 0.99**self.step)
-        for n in self.w:
-            at = ids if n == "e" else slice(None)
-            first, second = self.first[n][at], self.second[n][at]
-            first += np.float32(0.1) * (g[n] - first)
-            second += np.float32(0.01) * (g[n] * g[n] - second)
-            self.first[n][at], self.second[n][at] = first, second
-            self.w[n][at] -= scale[0] * first / (np.sqrt(second / scale[1]) + np.float32(1e-8))
+        rest = np.concatenate([g[n].reshape(-1) for n in self.rest])
+        for (w, firsts, seconds), at, own in zip(self.moved, (ids, slice(None)), (g["e"], rest)):
+            first, second = firsts[at], seconds[at]
+            first += np.float32(0.1) * (own - first)
+            second += np.float32(0.01) * (own * own - second)
+            firsts[at], seconds[at] = first, second
+            w[at] -= scale[0] * first / (np.sqrt(second / scale[1]) + np.float32(1e-8))
 
 
 def fit(windows: np.ndarray, of: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -213,56 +255,62 @@ class Scorer:
 
     def __init__(self, w: dict[str, np.ndarray], of: np.ndarray, inside: np.ndarray):
         """inside: log10 P(id | its class)."""
-        self.q, self.k, self.v, self.r = (w["e"] @ w[n] for n in "qkvr")
-        self.q *= np.float32(1 / np.sqrt(WIDTH))
+        self.every = w["e"] @ _projections(w)  # of each id, made once, so that they don't depend on its place
         self.o, self.b, self.of, self.inside = w["o"], w["b"], of, inside
-        self.small = float((np.abs(self.o).sum(0) + np.abs(self.b)).max()) < 60  # then exp can't overflow
+        longest = [_longest(self.every[:, i : i + WIDTH]) for i in (0, WIDTH)]
+        self.far = longest[0] * longest[1] + float(np.abs(w["d"]).max()) >= 60  # else exp can't overflow
+        self.small, self.factor, self.log_factor = _factors(w)
         rows, cols = np.arange(WINDOW - STRIDE, WINDOW)[:, None], np.arange(WINDOW)[None, :]
         self.bias = np.where(rows >= cols, w["d"][np.clip(rows - cols, 0, WINDOW - 1)], np.float32(-1e9)).astype(np.float32)
 
-    def token_logs(self, texts: list[np.ndarray], block: int = 256) -> np.ndarray:
-        """log10 P(id | before) of every token of the texts, one after the other."""
+    def token_logs(self, texts: list[np.ndarray], block: int = 120) -> np.ndarray:
+        """log10 P(id | before) of every token of the texts, one after the other.
+
+        Texts are laid out from the start of a stride each, so that the windows of a block
+        overlap in memory: each id's projections are made once, and nothing is copied for them.
+        """
         if not texts:
             return np.zeros(0)
         sizes = np.array([len(t) for t in texts], np.int64)
         y = np.concatenate(texts)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        x = np.empty_like(y)
-        x[1:] = y[:-1]
-        x[starts] = END
         windows = -(-sizes // STRIDE)
-        doc = np.repeat(np.arange(len(texts)), windows)
-        at = starts[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
-        out = np.zeros(len(y))
-        for lo in range(0, len(doc), block):
-            d, a = doc[lo : lo + block], at[lo : lo + block]
-            keys = a[:, None] + np.arange(STRIDE - WINDOW, STRIDE)
-            outside = keys < starts[d][:, None]
-            rows = keys[:, WINDOW - STRIDE :]
-            valid = rows < ends[d][:, None]
-            np.clip(keys, 0, len(x) - 1, out=keys)
-            seen = x[keys]
-            own = seen[:, WINDOW - STRIDE :]
-            s = self.q[own] @ self.k[seen].transpose(0, 2, 1)
+        begin, total = np.cumsum(windows) - windows, -(-int(windows.sum()) // EVEN) * EVEN
+        place = np.arange(len(y)) + np.repeat(STRIDE * begin - (np.cumsum(sizes) - sizes), sizes)
+        target = np.full(total * STRIDE, END, np.int32)
+        target[place] = y
+        x = np.full((total + 1) * STRIDE, END, np.int32)  # what stands before each, after one empty stride
+        x[STRIDE + 1 :] = target[:-1]
+        x[STRIDE * (begin + 1)] = END
+        opens = np.zeros(total, bool)
+        opens[begin] = True
+        of = self.of.take(target)
+        out = np.empty(len(target), np.float32)
+        held = np.empty((ROWS, CLASSES), np.float32)
+        for lo in range(0, total, block):
+            n = min(block, total - lo)
+            m = self.every.take(x[lo * STRIDE : (lo + n + 1) * STRIDE], axis=0)
+            q, k, v, r = (m[:, i : i + WIDTH] for i in range(0, 4 * WIDTH, WIDTH))
+            k, v = (np.lib.stride_tricks.as_strided(z, (n, WINDOW, WIDTH), (STRIDE * m.strides[0], *m.strides), writeable=False) for z in (k, v))
+            s = q[STRIDE:].reshape(n, STRIDE, WIDTH) @ k.transpose(0, 2, 1)
             s += self.bias
-            s[np.broadcast_to(outside[:, None, :], s.shape)] = -1e9
-            s -= s.max(-1, keepdims=True)
+            s[opens[lo : lo + n], :, : WINDOW - STRIDE] = -1e9  # another text
+            if self.far:
+                s -= s.max(-1, keepdims=True)
             np.exp(s, out=s)
-            h = s @ self.v[seen]
-            h /= s.sum(-1, keepdims=True)
-            h += self.r[own]
+            h = (s @ v).reshape(-1, WIDTH)
+            h /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, s.dtype))[:, None]
+            h += r[STRIDE:]
             np.tanh(h, out=h)
-            z = h.reshape(-1, WIDTH) @ self.o
-            z += self.b
-            if not self.small:
-                z -= z.max(-1, keepdims=True)
-            target = y[np.minimum(rows, len(y) - 1)].reshape(-1)
-            chosen = z[np.arange(len(z)), self.of[target]]
-            np.exp(z, out=z)
-            logs = (chosen - np.log(z @ np.ones(CLASSES, z.dtype))) / np.log(10) + self.inside[target]
-            out[rows[valid]] = logs[valid.reshape(-1)]
-        return out
+            for a in range(0, len(h), ROWS):
+                z = np.matmul(h[a : a + ROWS], self.o, out=held[: len(h) - a])
+                if not self.small:
+                    z += self.b
+                    z -= z.max(-1, keepdims=True)
+                at = slice(lo * STRIDE + a, lo * STRIDE + a + len(z))
+                chosen = z[np.arange(len(z)), of[at]]
+                np.exp(z, out=z)
+                out[at] = chosen + self.log_factor.take(of[at]) - np.log(z @ self.factor)
+        return out[place] / np.log(10) + self.inside[y]
 
 
 # -- the corpus ---------------------------------------------------------------------------------
