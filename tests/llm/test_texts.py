@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -173,6 +174,21 @@ def test_search_of_odd_tables(spark, odd, empty):
     assert search.search(odd, items.limit(0)).count() == 0
 
 
+def test_index_of_one_task_is_cut_into_groups(spark):
+    """A task holds a few shards at a time: no row group or page has more, however much one task wrote."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(re.findall("." * 8, rng.bytes(1 << 20).hex())) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    index, n_docs = search.build(docs)
+    files = [f.removeprefix("file:") for f in index.inputFiles()]
+    groups = [meta.row_group(g) for meta in (pq.ParquetFile(f).metadata for f in files) for g in range(meta.num_row_groups)]
+    assert n_docs == 12 and len(files) == 1 and index.count() == sum(g.num_rows for g in groups) >= 12
+    assert max(g.total_byte_size for g in groups) <= 12 << 20
+    word = texts[5][:8]
+    found = search.search(docs, spark.createDataFrame([(1, word)], "item_id long, text string")).collect()
+    assert [r["doc_id"] for r in found] == [i for i, t in enumerate(texts) if word in t.split(" ")]
+
+
 # -- classifier --------------------------------------------------------------------------------
 
 

@@ -61,11 +61,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
+def shared_table(df: DataFrame, label: str, **options: str | int) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, and
-    survives the loss of any executor."""
+    survives the loss of any executor.  ``options`` are the writer's."""
     path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@ time and adds weight x impact into a dense array over the shard's documents; the
 are selected with argpartition, ties at the border by doc_id.
 
 Scale: the lengths are one aggregate.  Building and searching are narrow passes; a
-shard has at most ``SHARD`` postings unless one document alone has more.  Items are searched
+shard has at most ``SHARD`` postings unless one document alone has more.  A shard is a row of two
+binary columns, each a compressed Arrow stream of its lists, and row groups and pages are cut
+after a few shards, so that a task holds a few of them at a time however much it reads or writes.  Items are searched
 in blocks of bounded size, each against all shards; what leaves a task is the best
 ``top`` of each item over all its shards, and these are merged in two steps.
 """
@@ -35,7 +37,11 @@ IN_TERM = np.array([TERM.match(bytes([b]).lower()) is not None for b in range(25
 PART = 4 << 20
 #: Postings of a shard; terms of the items that are searched together; merging tasks for each item.
 SHARD, BLOCK, SALTS = 1 << 20, 1 << 20, 16
-INDEX = "doc_ids array<long>, terms array<binary>, starts array<int>, docs array<int>, impacts array<int>"
+INDEX = "terms binary, postings binary"
+#: Bytes of a row group of the index (a shard at least).  Sizes are looked at after each row; Spark's writer
+#: looks after 100, which a file of shards seldom has, and its pages are as large as the file then.
+GROUP = 8 << 20
+WRITTEN = {"parquet.block.size": GROUP, "parquet.page.size.row.check.min": 1, "compression": "none"}
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS raw FROM documents),
@@ -112,13 +118,27 @@ def build(docs: DataFrame, shard: int = SHARD) -> tuple[DataFrame, int]:
         if texts:
             yield _shard(ids, texts, n_docs, n_terms)
 
-    return shared_table(id_and_text(docs).mapInArrow(run, INDEX), "search-index"), n_docs
+    return shared_table(id_and_text(docs).mapInArrow(run, INDEX), "search-index", **WRITTEN), n_docs
 
 
 def _shard(ids: list[int | None], texts: list[str], n_docs: int, n_terms: int) -> pa.RecordBatch:
     names, starts, doc, impact = postings(texts, n_docs, n_terms)
-    columns = [pa.array([x], pa.list_(kind)) for x, kind in ((ids, pa.int64()), (names, pa.binary()), (starts, pa.int32()), (doc, pa.int32()), (impact, pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_ids", "terms", "starts", "docs", "impacts"])
+    held = _packed(terms=names, starts=pa.array(starts, pa.int32())), _packed(doc_ids=pa.array(ids, pa.int64()), docs=pa.array(doc, pa.int32()), impacts=pa.array(impact, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in held], names=["terms", "postings"])
+
+
+def _packed(**lists: pa.Array) -> bytes:
+    """Lists of any lengths as one row of an Arrow stream."""
+    row = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in lists.values()], names=list(lists))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: pa.BinaryScalar) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(packed.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+    return {name: row.column(name)[0].values for name in row.schema.names}
 
 
 def best(score: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
@@ -182,14 +202,14 @@ def _frequencies(index: DataFrame, wanted: list[bytes]) -> dict[bytes, int]:
         names, total = pa.array(held.value, pa.binary()), np.zeros(len(held.value), np.int64)
         for batch in batches:
             for k in range(batch.num_rows):
-                own = batch.column("terms")[k].values
-                at = pc.index_in(names, own).fill_null(-1).to_numpy()
+                own = _unpacked(batch.column("terms")[k])
+                at = pc.index_in(names, own["terms"]).fill_null(-1).to_numpy()
                 there = at >= 0
-                total[there] += np.diff(batch.column("starts")[k].values.to_numpy())[at[there]]
+                total[there] += np.diff(own["starts"].to_numpy())[at[there]]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "n"])
 
-    counted = index.select("terms", "starts").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = index.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return {wanted[r["term"]]: r["n"] for r in counted.collect()}
 
 
@@ -204,10 +224,10 @@ def _search(index: DataFrame, used: list[bytes], rows: list[list[tuple[int, int]
         last = np.iinfo(np.int64).max
         for batch in batches:
             for k in range(batch.num_rows):
-                own, ids = batch.column("terms")[k].values, batch.column("doc_ids")[k].values
-                ids = ids.fill_null(last).to_numpy()
-                starts, docs, impacts = (batch.column(c)[k].values.to_numpy() for c in ("starts", "docs", "impacts"))
-                at = pc.index_in(names, own).fill_null(-1).to_numpy()
+                own = _unpacked(batch.column("terms")[k]) | _unpacked(batch.column("postings")[k])
+                ids = own["doc_ids"].fill_null(last).to_numpy()
+                starts, docs, impacts = (own[c].to_numpy() for c in ("starts", "docs", "impacts"))
+                at = pc.index_in(names, own["terms"]).fill_null(-1).to_numpy()
                 for item, query in enumerate(rows):
                     score = np.zeros(len(ids), np.int64)
                     for term, weight in query:
