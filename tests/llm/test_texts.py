@@ -3,10 +3,12 @@
 import hashlib
 import math
 import re
+import threading
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tsmeter.llm import align, compress, search
-from tsmeter.llm.queries import op13_quality_classifier
+from tsmeter.llm.queries import op12_ranked_search, op13_quality_classifier
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -189,6 +191,31 @@ def test_index_of_one_task_is_cut_into_groups(spark):
     assert [r["doc_id"] for r in found] == [i for i, t in enumerate(texts) if word in t.split(" ")]
 
 
+def test_row_groups_are_not_read_into_direct_buffers(spark, tmp_path, monkeypatch):
+    texts = [np.random.default_rng(i).bytes(1 << 20).hex() for i in range(32)]
+    table = pa.table({"doc_id": pa.array(range(32), pa.int64()), "text": texts})
+    pq.write_table(table, tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": ["a"]}), tmp_path / "benchmark.parquet")
+    factory, direct = spark._jvm.java.lang.management.ManagementFactory, []
+    bean = spark._jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean")
+    pool = next(b for b in factory.getPlatformMXBeans(bean) if b.getName() == "direct")
+    done = threading.Event()
+
+    def watch():
+        while not done.wait(0.01):
+            direct.append(pool.getMemoryUsed())
+
+    monkeypatch.setattr(search, "search", lambda docs, items: search.lengths(docs))
+    before, watcher = pool.getMemoryUsed(), threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert op12_ranked_search(spark, str(tmp_path))[0] == 32
+    finally:
+        done.set()
+        watcher.join()
+    assert max(direct) - before < 16 << 20  # the row group has 64 MB
+
+
 # -- classifier --------------------------------------------------------------------------------
 
 

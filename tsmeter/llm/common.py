@@ -17,8 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 _own_dirs: dict[str, str] = {}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
+    return spark.read.options(**options).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

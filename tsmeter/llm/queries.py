@@ -55,7 +55,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return search.search(read_table(spark, sf_dir, "documents", **search.READ), read_table(spark, sf_dir, "benchmark"))
 
 
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,8 @@ IN_TERM = np.array([TERM.match(bytes([b]).lower()) is not None for b in range(25
 PART = 4 << 20
 #: Postings of a shard; terms of the items that are searched together; merging tasks for each item.
 SHARD, BLOCK, SALTS = 1 << 20, 1 << 20, 16
+#: For reading documents: else a task reads a row group's texts into one direct buffer beside the heap, however large.
+READ = {"parquet.hadoop.vectored.io.enabled": "false"}
 INDEX = "terms binary, postings binary"
 #: Bytes of a row group of the index (a shard at least).  Sizes are looked at after each row; Spark's writer
 #: looks after 100, which a file of shards seldom has, and its pages are as large as the file then.
